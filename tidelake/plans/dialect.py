@@ -36,7 +36,7 @@ def translate(sql: str) -> str:
     text = re.sub(r"\bstring_agg\s*\(", "listagg(", text, flags=re.I)
     text = re.sub(r"\barg_(max|min)\s*\(", r"\1_by(", text, flags=re.I)
     text = re.sub(r"\btime_bucket\s*\(\s*INTERVAL\s*(\x00\d+\x00|\d+\s+\w+)\s*,\s*([\w.]+)\s*\)", lambda m: bucket_sql(held[int(m[1].strip("\x00"))].strip("'") if "\x00" in m[1] else m[1], m[2]), text, flags=re.I)
-    text = re.sub(r"\bORDER\s+BY\s+(.*?)(?=\bLIMIT\b|\bOFFSET\b|\bROWS\b|\bRANGE\b|\)|;|$)", lambda m: "ORDER BY " + nulls_last(m[1]), text, flags=re.I | re.S)
+    text = ordered(text)
     return re.sub(r"\x00(\d+)\x00", lambda m: held[int(m[1])], text)
 
 
@@ -44,6 +44,23 @@ def translate(sql: str) -> str:
 TYPES = {"VARCHAR": "STRING", "TEXT": "STRING", "INTEGER": "INT", "HUGEINT": "DECIMAL(38,0)", "REAL": "FLOAT"}
 
 
+def ordered(text: str) -> str:
+    """NULLS LAST for the keys of each ORDER BY that do not say otherwise."""
+    out, at = [], 0
+    for m in re.finditer(r"\bORDER\s+BY\s+", text, re.I):
+        if m.start() < at:
+            continue  # inside keys that were done
+        end, depth = m.end(), 0
+        while end < len(text):
+            if text[end] == ")" and not depth or not depth and re.match(r"\b(LIMIT|OFFSET|ROWS|RANGE)\b|;", text[end:], re.I):
+                break
+            depth += (text[end] == "(") - (text[end] == ")")
+            end += 1
+        out += [text[at : m.end()], nulls_last(ordered(text[m.end() : end]))]
+        at = end
+    return "".join(out) + text[at:]
+
+
 def nulls_last(keys: str) -> str:
     depth, parts, at = 0, [], 0
     for i, c in enumerate(keys):

@@ -30,7 +30,11 @@ def lake_of(spark, what: str, cold: bool = False) -> Lake:
 
 
 PLAIN = "SELECT ts AS time, event_type, 'u' || user_id AS host, value, event_id FROM events"
-MICROS = F.timestamp_diff("MICROSECOND", at("1970-01-01"), F.col("time"))
+
+
+def micros(column: str):
+    return F.timestamp_diff("MICROSECOND", at("1970-01-01"), F.col(column))
+
 
 
 @query(PLAIN)
@@ -68,7 +72,7 @@ def s4_live_rows(load, spark):
 @query("SELECT ts AS time, event_type, 'a b,' || user_id AS host, value, event_id, 'say \"' || event_type || '\"' AS note, event_id % 2 = 0 AS even FROM events")
 def s5_line_protocol(load, spark):
     e = load("events")
-    nanos = F.timestamp_diff("MICROSECOND", at("1970-01-01"), F.col("ts")) * 1000
+    nanos = micros("ts") * 1000
     line = F.concat(F.lit("ev,event_type="), "event_type", F.lit(r",host=a\ b\,"), F.col("user_id").cast("string"), F.lit(" value="), F.col("value").cast("string"), F.lit(",event_id="), F.col("event_id").cast("string"), F.lit('i,note="say \\"'), "event_type", F.lit('\\"",even='), F.when(F.col("event_id") % 2 == 0, "t").otherwise("false"), F.lit(" "), nanos.cast("string"))
     return to_table(line_protocol(e.select(line.alias("value"))), "ev")[0]
 
@@ -76,7 +80,7 @@ def s5_line_protocol(load, spark):
 @query(PLAIN)
 def s6_records(load, spark):
     e = events(load)
-    json = F.to_json(F.struct(F.lit("ev").alias("m"), MICROS.alias("t"), F.col("host").alias("h"), F.struct("value", "event_id").alias("fields"), F.struct("event_type").alias("tags")))
+    json = F.to_json(F.struct(F.lit("ev").alias("m"), micros("time").alias("t"), F.col("host").alias("h"), F.struct("value", "event_id").alias("fields"), F.struct("event_type").alias("tags")))
     return to_table(records(e.select(json.alias("value"))), "ev")[0]
 
 
@@ -90,7 +94,7 @@ def s6b_epoch_units(load, spark):
 @query("SELECT ts AS time, 'd' || user_id AS dn, value AS temperature, event_id AS seq FROM events")
 def s7_messages(load, spark):
     e = load("events")
-    us = F.timestamp_diff("MICROSECOND", at("1970-01-01"), F.col("ts"))
+    us = micros("ts")
     text = F.to_json(F.struct(us.alias("timestamp"), F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("dn"), F.struct(F.col("value").alias("temperature")).alias("properties"), F.col("event_id").alias("seq")))
     return to_table(messages(e.select(text.alias("value"))), "mqtt")[0]
 
@@ -105,7 +109,7 @@ def s8_csv_import(load, spark):
 @query("SELECT event_id, ts AS iso, date_trunc('second', ts) AS sec, date_trunc('day', ts) AS day FROM events")
 def s8a_import_times(load, spark):
     e = load("events")
-    us = F.timestamp_diff("MICROSECOND", at("1970-01-01"), F.col("ts"))
+    us = micros("ts")
     iso = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.when(F.col("event_id") % 2 == 0, "Z").otherwise(""))
     return e.select("event_id", parse_time(iso).alias("iso"), parse_time(F.floor(us / 1000000).cast("string"), "epoch_s").alias("sec"), parse_time(F.date_format("ts", "yyyy-MM-dd")).alias("day"))
 
@@ -145,7 +149,7 @@ def m4_dedup_last_wins(load, spark):
 @query("SELECT event_id, ts AS time FROM events")
 def m5_time_normalisation(load, spark):
     e = load("events")
-    us = F.timestamp_diff("MICROSECOND", at("1970-01-01"), F.col("ts"))
+    us = micros("ts")
     text = F.when(F.col("event_id") % 2 == 0, us.cast("string")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     return e.select("event_id", maintenance.normalised_time(text).alias("time"))
 
