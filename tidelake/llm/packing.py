@@ -29,10 +29,15 @@ def byte_encoder(path: str):
     function where ids follow the order of the merges, which is checked here. Where they don't, or for a text that
     tiktoken can't take, the library itself encodes.
     """
-    from tokenizers import Tokenizer
+    held: list = []  # the library is loaded only where it is needed
+
+    def plain(text: str) -> list[int]:
+        if not held:
+            from tokenizers import Tokenizer
+
+            held.append(Tokenizer.from_file(path))
+        return held[0].encode(text, add_special_tokens=False).ids
 
-    library = Tokenizer.from_file(path)
-    plain = lambda text: library.encode(text, add_special_tokens=False).ids
     spec = json.load(open(path, encoding="utf-8"))
     vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
     pre = spec["pre_tokenizer"]
@@ -106,7 +111,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, axes = byte_encoder(vocabulary), projection()
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             raw, n = [], []
             points = np.zeros((batch.num_rows, axes.shape[1]), np.float32)
             for i, t in enumerate(batch.column(1)):
