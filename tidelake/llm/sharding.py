@@ -56,7 +56,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     n = rows.count()
     parts = max(1, -(-n // PART_ROWS))
     capacity = [n // shards + (s < n % shards) for s in range(shards)]
-    groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    # a table of its own: joined to the plain aggregate, a hot group's rows could not be split over tasks
+    groups = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))
     linked = rows.join(groups, "g", "left").withColumn("group_size", F.coalesce("group_size", F.lit(1)))
     linked = linked.withColumns({"all": F.lit(0), "part": F.pmod(F.xxhash64("g", "row"), F.lit(parts)).cast("int")})
     state = written(numbered(linked, ["all"], ["part"], [F.col("row")], "place").withColumn("shard", (F.col("place") % shards).cast("int")).drop("all", "part", "place"))
@@ -78,7 +79,7 @@ def one_round(state: DataFrame, shards: int, capacity: list[int], parts: int, st
     # the shards a group asks for: those with most of its rows; the hash breaks ties evenly. One row a group and shard.
     order = W.partitionBy("g").orderBy(F.desc("n"), F.xxhash64("g", "shard"), "shard")
     asked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.ceil(F.col("group_size") / most))
-    asked = asked.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rank", "shard", "n"))).alias("asked"))  # at most one entry a shard
+    asked = written(asked.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rank", "shard", "n"))).alias("asked")))  # at most one entry a shard
     free = {r["shard"]: r["n"] for r in state.filter("group_size = 1").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a shard
     own = counts.select("g", "shard", F.col("n").alias("here"))
     wants = linked.join(asked, "g").join(own, ["g", "shard"])
@@ -90,6 +91,7 @@ def one_round(state: DataFrame, shards: int, capacity: list[int], parts: int, st
     queue = numbered(wants.withColumn("part", spread(f"q{step}", parts)), ["to"], ["part"], [F.xxhash64("g"), F.col("g"), F.col("row")], "turn")
     let_in = written(queue.filter(F.col("turn") < at_index([free.get(s, 0) for s in range(shards)], F.col("to"))).select("row", "from", "to"))
     discard(counts)
+    discard(asked)
     flow = let_in.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for two shards
     if not flow:
         discard(let_in)
