@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import DataFrame
 
 from tidelake.sources.points import decoded, point
@@ -13,18 +16,15 @@ TRUE, FALSE = {"t", "T", "true", "True", "TRUE"}, {"f", "F", "false", "False", "
 
 def cut(text: str, stops: str, quotes: bool = False) -> tuple[str, str, str]:
     """(up to the first stop that no backslash or quote covers, the stop, the rest)."""
-    i, inside = 0, False
-    while i < len(text):
-        c = text[i]
-        if c == "\\" and i + 1 < len(text):
-            i += 2
-            continue
-        if quotes and c == '"':
-            inside = not inside
-        elif not inside and c in stops:
-            return text[:i], c, text[i + 1 :]
-        i += 1
-    return text, "", ""
+    end = upto(stops, quotes).match(text).end()
+    return text[:end], text[end : end + 1], text[end + 1 :]
+
+
+@functools.cache
+def upto(stops: str, quotes: bool) -> re.Pattern:
+    """What goes on to a stop: other characters, any after a backslash, and quoted text (to the end, if left open)."""
+    quoted = r'|"(?:[^"\\]|\\.)*(?:"|\\?$)' if quotes else ""
+    return re.compile(rf'(?:[^\\{re.escape(stops)}{chr(34) if quotes else ""}]+|\\.{quoted}|\\$)*', re.S)
 
 
 def plain(text: str, special: str) -> str:
