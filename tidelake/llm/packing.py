@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tidelake.llm.common import partitions, written
 
 LENGTH, END = 1024, 0
+#: Ids of a row that is sorted, at most: long documents are several rows, so that ranges of equal rows are near equal in bytes.
+CHUNK = 4096
 #: Dimensions of the curve and bits of each.
 DIMENSIONS, BITS = 3, 10
 #: Buckets into which token ids are hashed for a document's vector.
@@ -107,22 +109,32 @@ def curve_keys(vectors: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
-    """(doc_id, key, n, ids): each text's ids and the closing id as little-endian 16- or 32-bit words, and its key."""
+    """(doc_id, key, n, start, ids): each text's ids and the closing id, at most CHUNK a row from start on, and its key.
+
+    ids are little-endian words of 16 bits, or of 32 where a document has an id that needs them.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, axes = byte_encoder(vocabulary), projection()
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            raw, n = [], []
+            rows, at = [], []
             points = np.zeros((batch.num_rows, axes.shape[1]), np.float32)
             for i, t in enumerate(batch.column(1)):
                 ids = np.array(to_ids(t.as_py() or "") + [end], np.uint32)
                 counts = np.bincount(ids * np.uint32(2654435761) >> np.uint32(20), minlength=BUCKETS)
                 points[i] = counts @ axes / max(1.0, float(np.sqrt((counts * counts).sum())))
-                raw.append(ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes())
-                n.append(len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(curve_keys(points)), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "key", "n", "ids"])
+                words = ids.astype("<u2" if ids.max() < 1 << 16 else "<u4")
+                for start in range(0, len(ids), CHUNK):
+                    at.append(i)
+                    rows.append((len(ids), start, words[start : start + CHUNK].tobytes()))
+            if rows:
+                n, starts, raw = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at)), pa.array(curve_keys(points)[at]), pa.array(n, pa.int64()), pa.array(starts, pa.int64()), pa.array(raw, pa.binary())],
+                    ["doc_id", "key", "n", "start", "ids"],
+                )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, key long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, key long, n long, start long, ids binary")
 
 
 def powers(n: int) -> list[int]:
@@ -139,14 +151,15 @@ def packed(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = EN
     Documents are range-sorted by the Hilbert key of their projected token vectors, then doc_id and size, and
     neighbours along the curve follow each other through sequences of `length`, cut where a sequence is full. What a
     task has left at its end goes to sequences whose sizes are powers of two, which need no padding, so no token of
-    padding is needed at all. Each task sees its rows as a stream and holds one document and one sequence at a time.
+    padding is needed at all. Long documents are sorted in chunks, so ranges are even in tokens and no row is large.
+    Each task sees its rows as a stream and holds one chunk and one sequence at a time.
     Repeated rows and equal doc_ids are packed like other rows; a null doc_id stays null. An empty table gives an
     empty one. sequence_ids are distinct; they number a task's sequences from its place in the range sort on.
     with_ids adds column ids (binary, little-endian 32-bit), the piece itself.
     """
     spark = docs.sparkSession
     tokens = written(tokenized(docs, vocabulary, end))
-    ordered = tokens.repartitionByRange(partitions(spark), "key", "doc_id", "n").sortWithinPartitions("key", "doc_id", "n", "ids")
+    ordered = tokens.repartitionByRange(partitions(spark), "key", "doc_id", "n", "start").sortWithinPartitions("key", "doc_id", "n", "start", "ids")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -163,15 +176,15 @@ def packed(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = EN
 
         names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
         for batch in batches:
-            for doc, n, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                raw = raw.as_py()
-                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4").tobytes()
-                start = 0
-                while start < n:
-                    take = min(n - start, length - at)
-                    piece = ids[4 * start : 4 * (start + take)]
-                    rows.append((doc, start, take, zlib.crc32(piece), n, sequence, at, piece))
-                    start, at = start + take, at + take
+            for doc, n, start, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                here = min(CHUNK, n - start)  # ids of the chunk
+                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * here else "<u4").astype("<u4").tobytes()
+                done = 0
+                while done < here:
+                    take = min(here - done, length - at)
+                    piece = ids[4 * done : 4 * (done + take)]
+                    rows.append((doc, start + done, take, zlib.crc32(piece), n, sequence, at, piece))
+                    done, at = done + take, at + take
                     if at == length:
                         sequence, at, open_from = sequence + 1, 0, len(rows)
             if open_from > 4096:
@@ -189,4 +202,4 @@ def packed(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = EN
         if rows:
             yield out(rows)
 
-    return ordered.select("doc_id", "key", "n", "ids").mapInArrow(pack, PIECES + ", ids binary" * with_ids)
+    return ordered.select("doc_id", "n", "start", "ids").mapInArrow(pack, PIECES + ", ids binary" * with_ids)
