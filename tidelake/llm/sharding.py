@@ -10,7 +10,7 @@ from tidelake.llm.common import discard, numbered, written
 
 SHARDS, ROUNDS = 40, 4
 #: Rows of a group up to which its members stand together in a queue; larger groups are dealt over the queue's parts.
-TOGETHER = 10_000
+TOGETHER = 500
 #: Rows that one task numbers, about.
 PART_ROWS = 20_000
 
