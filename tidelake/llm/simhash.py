@@ -25,7 +25,7 @@ from tidelake.llm.common import components, discard, fresh, partitions, written
 #: Members of a bucket that are compared in one piece; larger buckets are compared in pairs of blocks.
 BLOCK = 4096
 #: Documents of a group whose shingle sets are compared in one piece.
-SET_BLOCK = 256
+SET_BLOCK = 128
 SEED = 42
 
 
@@ -325,7 +325,8 @@ def simhash_components(docs: DataFrame, k: int = 4) -> DataFrame:
     keyed = nodes.select("print").mapInArrow(keys, "key long, node long, print binary")
     joined = components(written(bucket_links(keyed, 4, 1)))
     of = nodes.join(joined, nodes["print"] == joined["node"], "left").select("print", "least", F.coalesce("component", "print").alias("component"))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    # a table of its own: joined to the plain aggregate, a large component's rows could not be split over tasks
+    least = written(of.groupBy("component").agg(F.min("least").alias("component_id")))
     labels = of.join(least, "component").select(F.col("print").alias("_print"), "component_id")
     return prints.join(labels, prints["print"] == labels["_print"]).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
@@ -379,7 +380,7 @@ def set_links(docs: DataFrame, near: DataFrame, k: int, similarity: float) -> Da
     the links by the shingles that they share; so a large component is spread over many tasks.
     """
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("m") / SET_BLOCK).cast("int")).select("component", "blocks")
+    sizes = written(sizes.withColumn("blocks", F.ceil(F.col("m") / SET_BLOCK).cast("int")).select("component", "blocks"))
     own = F.pmod(F.hash("node"), F.col("blocks"))
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j))
     placed = near.join(sizes, "component").select(F.col("node").alias("row"), "component", each.alias("parts"))
