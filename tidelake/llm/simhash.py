@@ -131,9 +131,9 @@ def exact_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys).view(np.int64), np.concatenate(rows)
 
 
-#: A wide fingerprint: 6 x 64 bits, 16 segments of 23 bits (the last bits are left over). Candidates are compared by
-#: the first COMPARED x 64 bits, so that the rows of the buckets stay short.
-WIDE, WIDE_SEGMENTS, COMPARED = 6, 16, 2
+#: A wide fingerprint: 5 x 64 bits, 12 segments of 23 bits (the last bits are left over). Candidates are compared by
+#: the first COMPARED x 64 bits, so that the rows of the buckets stay short. PROBES: keys with a second-nearest codeword.
+WIDE, WIDE_SEGMENTS, COMPARED, PROBES = 5, 12, 2, 114
 
 
 @functools.cache
@@ -142,20 +142,41 @@ def code_signs() -> np.ndarray:
     return bits.astype(np.float32) * 2 - 1
 
 
-def soft_keys(margins: np.ndarray) -> np.ndarray:
-    """Keys (rows x 120) of each two segments' nearest codewords, where nearest weighs a bit by its margin.
+def soft_codes(margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two nearest codewords of each segment (rows x segments x 2), and by how much the second is further off.
 
-    The bits in which similar texts differ are those with a small margin, so they seldom change the codeword.
-    Of pairs of texts whose shingles have a Jaccard similarity of 0.8, two of the sixteen segments agree for all but
-    5 to 8 per cent in simulations, at 0.85 for all but 1 to 2, and at 0.9 for all.
+    Nearest weighs a bit by its margin: the bits in which similar texts differ are those with a small margin, so they
+    seldom change the codeword.
     """
     signs = code_signs()
-    codes = np.empty((len(margins), WIDE_SEGMENTS), np.int64)
+    near = np.empty((len(margins), WIDE_SEGMENTS, 2), np.uint16)
+    gap = np.empty((len(margins), WIDE_SEGMENTS), np.float32)
     for s in range(WIDE_SEGMENTS):
         for i in range(0, len(margins), 2048):
-            codes[i : i + 2048, s] = np.argmax(margins[i : i + 2048, s * 23 : s * 23 + 23] @ signs, axis=1)
-    pairs = list(itertools.combinations(range(WIDE_SEGMENTS), 2))
-    return np.stack([p << 24 | codes[:, i] << 12 | codes[:, j] for p, (i, j) in enumerate(pairs)], axis=1)
+            scores = margins[i : i + 2048, s * 23 : s * 23 + 23] @ signs
+            rows = np.arange(len(scores))
+            best = np.argmax(scores, axis=1)
+            top = scores[rows, best]
+            scores[rows, best] = -np.inf
+            second = np.argmax(scores, axis=1)
+            near[i : i + 2048, s, 0], near[i : i + 2048, s, 1] = best, second
+            gap[i : i + 2048, s] = top - scores[rows, second]
+    return near, gap
+
+
+def soft_keys(near: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Keys (rows x 180): of each two segments' nearest codewords, and PROBES with a second-nearest one in them.
+
+    The probes are those with the smallest gaps, which are likeliest to be a similar text's own. Of pairs of texts
+    whose shingles have a Jaccard similarity of 0.8, all but about 1 in 200 share a key in simulations.
+    """
+    i, j = np.array(list(itertools.combinations(range(WIDE_SEGMENTS), 2))).T
+    codes = near.astype(np.int64)
+    key = lambda a, b: np.arange(len(i)) << 24 | codes[:, i, a] << 12 | codes[:, j, b]
+    probes = np.concatenate((key(1, 0), key(0, 1), key(1, 1)), axis=1)
+    cost = np.concatenate((gap[:, i], gap[:, j], gap[:, i] + gap[:, j]), axis=1)
+    best = np.argpartition(cost, PROBES - 1, axis=1)[:, :PROBES]
+    return np.concatenate((key(0, 0), np.take_along_axis(probes, best, axis=1)), axis=1)
 
 
 # ---------------------------------------------------------------- links within buckets
@@ -350,21 +371,36 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
                 counts[i] /= max(1, len(h)) ** 0.5
                 raw.append(np.packbits(counts[i, : 64 * COMPARED] > 0).tobytes())
                 sets.append(h.tobytes())
-            key = soft_keys(counts)
-            ends = np.arange(0, key.size + 1, key.shape[1], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key.ravel()))
+            near, gap = soft_codes(counts)
+            sketch = [a.tobytes() + b.tobytes() for a, b in zip(near, gap)]
             sizes = pa.array([len(s) // 8 for s in sets], pa.int64())
             sums = pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), lists, sizes, sums], ["row", "print", "keys", "n", "set_hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(sketch, pa.binary()), sizes, sums], ["row", "print", "sketch", "n", "set_hash"])
 
-    prints = written(docs.select("row", "text").mapInArrow(wide, "row long, print binary, keys array<long>, n long, set_hash binary"))
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = 4 * WIDE_SEGMENTS
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                n = batch.num_rows
+                sketch = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1)
+                near = np.ascontiguousarray(sketch[:, :cut]).view(np.uint16).reshape(n, WIDE_SEGMENTS, 2)
+                key = soft_keys(near, np.ascontiguousarray(sketch[:, cut:]).view(np.float32))
+                each = key.shape[1]
+                prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1)
+                ends = np.arange(n * each + 1, dtype=np.int32) * prints.shape[1]
+                raw = pa.Array.from_buffers(pa.binary(), n * each, [None, pa.py_buffer(ends), pa.py_buffer(np.repeat(prints, each, axis=0))])
+                node = batch.column(0).to_numpy().repeat(each)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(node), raw], ["key", "node", "print"])
+
+    prints = written(docs.select("row", "text").mapInArrow(wide, "row long, print binary, sketch binary, n long, set_hash binary"))
     # texts with equal sets of shingles are one node
-    nodes = written(prints.groupBy("set_hash").agg(F.min(F.struct("row", "print", "keys")).alias("x")).select("set_hash", F.col("x.row").alias("node"), F.col("x.print").alias("print"), F.col("x.keys").alias("keys")))
+    nodes = written(prints.groupBy("set_hash").agg(F.min(F.struct("row", "print", "sketch")).alias("x")).select("set_hash", F.col("x.row").alias("node"), F.col("x.print").alias("print"), F.col("x.sketch").alias("sketch")))
     # bits differ for 15 of 100 at a similarity of 0.8; five deviations more are let through and verified on the sets
     angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = 64 * COMPARED
     most = int(bits * angle + 5 * (bits * angle * (1 - angle)) ** 0.5)
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "print")
+    keyed = nodes.select("node", "print", "sketch").mapInArrow(keys, "key long, node long, print binary")
     near = components(written(bucket_links(keyed, most, COMPARED)))
     near = written(near)
     exact = components(written(set_links(docs, near, k, similarity)))
@@ -437,7 +473,7 @@ def near_kept(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame
 
     Rows are linked if the sets of their k-word shingles have a Jaccard similarity of at least `similarity`; groups
     are what links join. The row with the most code points stays, of those the smallest doc_id (null last). Texts
-    without words are one group; null counts as empty. Fingerprints of 6 x 64 bits give the candidates: those that
+    without words are one group; null counts as empty. Fingerprints of 5 x 64 bits give the candidates: those that
     share a key (soft_keys) and differ in few bits are near, and sets decide within what is near. A link can be
     missed only where all its keys differ: see soft_keys for how often.
     """
