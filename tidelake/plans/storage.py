@@ -232,3 +232,87 @@ def d1_dialect(load, spark):
 
     load("events").createOrReplaceTempView("events")
     return run(spark, DIALECT)
+
+
+@query("SELECT e.event_type, count(*) AS n, round(sum(e.value), 4) AS total FROM events e JOIN events o ON o.event_id = e.event_id AND o.event_id % 2 = 0 WHERE e.ts >= TIMESTAMP '2024-01-05' GROUP BY 1")
+def j11_cross_database(load, spark):
+    from tidelake.plans.lake_sql import lake_sql
+
+    lake = lake_of(spark, "j11")
+    e = events(load)
+    lake.write(e, "main", "events", ["event_type", "host"])
+    lake.write(e.filter("event_id % 2 = 0").select("time", "event_id"), "ops", "even")
+    return lake_sql(lake, "SELECT e.event_type, count(*) AS n, round(sum(e.value), 4) AS total FROM main.events e JOIN ops.even o ON o.event_id = e.event_id WHERE e.time >= TIMESTAMP_NTZ '2024-01-05 00:00:00' GROUP BY 1")
+
+
+@query("SELECT event_type, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-09 07:30:00' AND TIMESTAMP '2024-01-12 05:00:00' AND value > 1 GROUP BY 1")
+def s2_sql_pruned(load, spark):
+    """The bounds are taken from the optimised plan and prune the folders by hour."""
+    from tidelake.plans.lake_sql import lake_sql
+
+    lake = lake_of(spark, "s2sql")
+    lake.write(events(load), "main", "events", ["event_type", "host"])
+    return lake_sql(lake, "SELECT event_type, count(*) AS n, min(time) AS first, max(time) AS last FROM events WHERE time BETWEEN TIMESTAMP '2024-01-09 07:30:00' AND TIMESTAMP '2024-01-12 05:00:00' AND value > 1 GROUP BY 1")
+
+
+@query(PLAIN)
+def m2_daily_compaction(load, spark):
+    lake = lake_of(spark, "m2")
+    lake.write(events(load), "main", "events", ["event_type", "host", "event_id"])
+    maintenance.compact(lake, "main", "events", least=12, daily=True)
+    return lake.read("main", "events")
+
+
+@query("SELECT 'kept' AS database, count(*) AS n FROM events")
+def m13_drop_database(load, spark):
+    lake = lake_of(spark, "m13")
+    for db in ("kept", "gone"):
+        lake.write(events(load), db, "events", ["event_type", "host"])
+    lake.drop_database("gone", confirm=True)
+    left = lake.databases()
+    return lake.read("kept", "events").groupBy(F.lit(",".join(left)).alias("database")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT ts AS time, event_type, value, event_id FROM events")
+def s10_line_file_import(load, spark):
+    """Files of lines: comments and broken lines are left out."""
+    e = load("events")
+    line = F.concat(F.lit("ev,event_type="), "event_type", F.lit(" value="), F.col("value").cast("string"), F.lit(",event_id="), F.col("event_id").cast("string"), F.lit("i "), micros("ts").cast("string"))
+    path = paths.scratch(spark, "lines")
+    e.select(F.explode(F.array(F.lit("# a comment"), line, F.lit("broken"))).alias("value")).write.text(path)
+    return to_table(line_protocol(spark.read.text(path), precision="us"), "ev")[0]
+
+
+@query("SELECT CASE WHEN event_id % 3 = 0 THEN 'unknown' WHEN event_id % 3 = 1 THEN 'host_' || user_id ELSE 'u' || user_id END AS host, count(*) AS n, sum(event_id) AS field_0, round(sum(value), 4) AS field_1 FROM events GROUP BY 1")
+def s6a_host_default(load, spark):
+    e = load("events")
+    host = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit(',"h":'), F.col("user_id").cast("string"))).when(F.col("event_id") % 3 == 2, F.concat(F.lit(',"h":"u'), F.col("user_id").cast("string"), F.lit('"'))).otherwise("")
+    text = F.concat(F.lit('{"m":7,"t":'), micros("ts").cast("string"), host, F.lit(',"f":['), F.col("event_id").cast("string"), F.lit(","), F.col("value").cast("string"), F.lit("]}"))
+    table, _ = to_table(records(e.select(text.alias("value"))), "measurement_7")
+    return table.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("field_0").alias("field_0"), F.round(F.sum("field_1"), 4).alias("field_1"))
+
+
+ORBITS = """
+WITH t AS (SELECT s_suppkey % 100000 AS k, 1 + (s_suppkey % 150) / 10.0 AS n, (s_suppkey % 70) / 1000.0 * 10 AS e FROM supplier),
+a AS (SELECT *, pow(3.986004418e14 / pow(n * 2 * pi() / 86400.0, 2), 1.0 / 3) / 1000.0 AS a FROM t),
+h AS (SELECT *, a * (1 - e) - 6371.0 AS p, a * (1 + e) - 6371.0 AS q FROM a)
+SELECT lpad(k::VARCHAR, 5, '0') AS norad_id, 'SAT ' || k AS object_name, TIMESTAMP '2024-01-01' + to_hours(CAST(k % 360 * 24 + 12 AS INT)) AS time, round(a, 3) AS semi_major_axis_km, round(1440.0 / n, 6) AS period_min,
+CASE WHEN p < 0 THEN 'SUB' WHEN e > 0.25 AND q > 35786.0 THEN 'HEO' WHEN (p + q) / 2 > 35586.0 AND (p + q) / 2 < 35986.0 THEN 'GEO' WHEN q < 2000.0 THEN 'LEO' WHEN p >= 2000.0 AND q <= 35786.0 THEN 'MEO' ELSE 'HEO' END AS orbit_type
+FROM h
+"""
+
+
+@query(ORBITS)
+def s11_two_line_elements(load, spark):
+    from tidelake.sources.tle import two_line_elements
+
+    k = F.col("s_suppkey") % 100000
+    number = F.lpad(k.cast("string"), 5, "0")
+    one = F.concat(F.lit("1 "), number, F.lit("U 98067A   24"), F.format_string("%012.8f", (k % 360 + 1.5).cast("double")), F.lit("  .00002182  00000-0 -11606-4 0  292"))
+    ecc = F.lpad(((F.col("s_suppkey") % 70) * 100_000).cast("string"), 7, "0")
+    two = F.concat(F.lit("2 "), number, F.lit("  51.6416 247.4627 "), ecc, F.lit(" 130.5360 325.0288 "), F.format_string("%11.8f", (1 + (F.col("s_suppkey") % 150) / 10).cast("double")), F.lit("56353"))
+    digit = lambda c: F.coalesce(c.try_cast("int"), (c == "-").cast("int"))
+    checked = lambda c: F.concat(c, (F.aggregate(F.split(c, ""), F.lit(0), lambda s, x: s + digit(x)) % 10).cast("string"))
+    text = F.concat(F.lit("SAT "), k.cast("string"), F.lit("\n"), checked(one), F.lit("\n"), checked(two), F.lit("\n"))
+    out = two_line_elements(load("supplier").select(text.alias("value")))
+    return out.select("norad_id", "object_name", "time", F.round("semi_major_axis_km", 3).alias("semi_major_axis_km"), F.round("period_min", 6).alias("period_min"), "orbit_type")
