@@ -39,11 +39,8 @@ def swap(lake: Lake, df: DataFrame, path: str, folders: list[str], known: dict)
     dealt = df.repartition(tasks, DAY, HOUR, F.pmod(F.hash("time"), F.lit(known["files_per_hour"])))
     keys = [k for k in known["sort_keys"] if k in df.columns and k != "time"]
     dealt.sortWithinPartitions(DAY, HOUR, *keys, "time").write.partitionBy(DAY, HOUR).option("compression", "zstd").parquet(aside)
-    for f, _, _ in paths.files(spark, aside):
-        relative = f[f.index("/_swap/") + len("/_swap/") :]
-        paths.move(spark, f, f"{path}/{relative}")
-    for f in old:
-        paths.delete(spark, f)
+    paths.each(lambda f: paths.move(spark, f, f"{path}/{f[f.index('/_swap/') + len('/_swap/') :]}"), [f for f, _, _ in paths.files(spark, aside)])
+    paths.each(lambda f: paths.delete(spark, f), old)
     paths.delete(spark, aside)
 
 
@@ -94,8 +91,7 @@ def retain(lake: Lake, db: str, name: str, days: float, now: datetime, buffer_da
         of = df.filter(F.col(DAY) <= limit.strftime("%Y-%m-%d")).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max("time").alias("last"))
         gone += [r["file"] for r in of.filter(F.col("last") < F.lit(str(limit)).cast("timestamp_ntz")).collect()]  # one row a file
     if not dry_run:
-        for f in gone:
-            paths.delete(lake.spark, f)
+        paths.each(lambda f: paths.delete(lake.spark, f), gone)
     return sorted(gone)
 
 
@@ -129,17 +125,21 @@ def migrate(lake: Lake, db: str, name: str, max_age_days: float, now: datetime,
     """Moves whole hours that ended more than max_age_days ago to the cold tier."""
     if hot_only or not lake.cold:
         return []
-    limit, moved = now - timedelta(days=max_age_days), []
+    limit, moved, old = now - timedelta(days=max_age_days), [], []
     for folder, files in by_folder(lake, lake.path(db, name, HOT)).items():
         ends = datetime.strptime(folder.replace(f"{DAY}=", "").replace(f"/{HOUR}=", " "), "%Y-%m-%d %H") + timedelta(hours=1)
         if ends <= limit:
-            for f in files:
-                # copied before it is deleted: a failure leaves a second copy, never none
-                target = f"{lake.path(db, name, COLD)}/{folder}/{f.rsplit('/', 1)[1]}"
-                if not paths.exists(lake.spark, target):
-                    paths.copy(lake.spark, f, target)
-                paths.delete(lake.spark, f)
+            old += files
             moved.append(folder)
+
+    def move(f: str) -> None:
+        # copied before it is deleted: a failure leaves a second copy, never none
+        target = f"{lake.path(db, name, COLD)}/{'/'.join(f.split('/')[-3:])}"
+        if not paths.exists(lake.spark, target):
+            paths.copy(lake.spark, f, target)
+        paths.delete(lake.spark, f)
+
+    paths.each(move, old)
     return sorted(moved)
 
 
