@@ -50,6 +50,7 @@ def test_bounds(lake):
     assert bounds(lake, f"SELECT * FROM cpu WHERE {late} OR v > 3") == {("main", "cpu"): (None, None)}
     assert bounds(lake, f"SELECT * FROM cpu WHERE {late} UNION ALL SELECT * FROM cpu WHERE v = 1") == {("main", "cpu"): (None, None)}
     assert bounds(lake, f"SELECT * FROM cpu WHERE {late} AND v < (SELECT max(v) FROM cpu)") == {}
+    assert bounds(lake, "SELECT * FROM cpu WHERE time > now() - INTERVAL '2 hours'")["main", "cpu"][0] > d
     both = bounds(lake, "SELECT a.v FROM cpu a JOIN ops.mem b ON a.time = b.time WHERE b.time BETWEEN TIMESTAMP_NTZ '2024-01-01 05:00:00' AND TIMESTAMP_NTZ '2024-01-01 07:00:00'")
     assert both["ops", "mem"] == (d, datetime(2024, 1, 1, 7, 0, 0, 1)) == both["main", "cpu"]
 
