@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from tidelake.plans.registry import ORACLE, QUERIES, TABLES
 
-SLOW = {"s1_union_by_name_scan", "s3_multi_tier_scan", "m1_compaction", "m7_retention", "m8_delete", "c1_continuous_query", "c7_streaming_ingest", "k2_hour_partitions", "i2_measurements", "s4_live_rows", "m2_daily_compaction", "m13_drop_database", "i1_databases"}
+SLOW = {"s1_union_by_name_scan", "s3_multi_tier_scan", "m1_compaction", "m7_retention", "m8_delete", "c1_continuous_query", "c7_streaming_ingest", "k2_hour_partitions", "i2_measurements", "s4_live_rows", "m2_daily_compaction", "m13_drop_database", "i1_databases", "m9_tier_migration", "m10_tier_lookup"}
 
 
 @pytest.fixture(scope="module")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import time as clock
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -123,15 +124,17 @@ class Lake:
         df = df.filter(condition) if condition is not None else df
         return df if internal else df.drop(DAY, HOUR, SEQUENCE)
 
-    def _scan(self, path: str) -> DataFrame | None:
-        if not any(n.startswith(f"{DAY}=") for n, _, _ in paths.children(self.spark, path)):
+    def _scan(self, path: str, files: list[str] | None = None) -> DataFrame | None:
+        """All files below path, broken ones skipped; or just the stated ones, of which none may be broken."""
+        if files is None and not any(n.startswith(f"{DAY}=") for n, _, _ in paths.children(self.spark, path)):
             return None
         text = paths.read_text(self.spark, f"{path.replace(self.cold or self.root, self.root, 1)}/{PROPERTIES}")
         known = NEW | (json.loads(text) if text else {})
         if known["columns"] and not known["mixed"]:
             schema = ", ".join(f"`{c}` {kind}" for c, kind in {**known["columns"], SEQUENCE: "bigint"}.items())
-            return self.spark.read.schema(f"{schema}, {PARTITIONS}").option("ignoreCorruptFiles", True).parquet(path)
-        return union_by_name(self.spark, path)
+            reader = self.spark.read.schema(f"{schema}, {PARTITIONS}").option("basePath", path).option("ignoreCorruptFiles", files is None)
+            return reader.parquet(*(files or [path]))
+        return union_by_name(self.spark, path, files)
 
     def schema(self, db: str, name: str) -> list[dict]:
         tags = self.properties(db, name)["tags"]
@@ -197,15 +200,16 @@ def time_range(start: datetime | str | None, end: datetime | str | None) -> Colu
 WIDER = ["boolean", "long", "double", "string"]
 
 
-def union_by_name(spark: SparkSession, path: str) -> DataFrame:
+def union_by_name(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
     """Files whose types differ: files of one schema are read together, cast to the widest types and united by name.
 
-    time of text is read as a timestamp or as microseconds. Only files' schemas come to the driver.
+    time of text is read as a timestamp or as microseconds. Only files' schemas come to the driver, many at once.
     """
+    files = files or paths.parquet_only(spark, [f for f, _, _ in paths.files(spark, path)])
     groups: dict[str, list[str]] = {}
-    for file, _, _ in paths.files(spark, path):
-        schema = spark.read.option("basePath", path).parquet(file).schema
-        groups.setdefault(schema.json(), []).append(file)
+    with ThreadPoolExecutor(16) as pool:
+        for file, schema in zip(files, pool.map(lambda f: spark.read.option("basePath", path).parquet(f).schema.json(), files), strict=True):
+            groups.setdefault(schema, []).append(file)
     frames = [spark.read.option("basePath", path).parquet(*files) for files in groups.values()]
     kinds: dict[str, set[str]] = {}
     for df in frames:

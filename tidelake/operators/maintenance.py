@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from tidelake.catalog import COLD, DAY, HOT, HOUR, SEQUENCE, Lake
 
 #: Files of an hour from which it is compacted, and of a day; rows that one deletion may take.
 LEAST_FILES, LEAST_DAY_FILES, MOST_DELETED = 10, 12, 1_000_000
+#: Files that one job of compaction reads, about.
+FILES_AT_ONCE = 5_000
 
 
 def dedup(df: DataFrame, tags: list[str], dedup_time: bool = False, newest: str = SEQUENCE) -> DataFrame:
@@ -29,10 +32,12 @@ def dedup(df: DataFrame, tags: list[str], dedup_time: bool = False, newest: str
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def swap(lake: Lake, df: DataFrame, path: str, folders: list[str], known: dict) -> None:
-    """Replaces the files of folders below path by df's rows: written aside first, then moved in, then the old go."""
+def swap(lake: Lake, df: DataFrame, path: str, old: list[str], known: dict) -> None:
+    """Replaces the files `old` below path by df's rows: written aside first, then moved in, then the old ones go.
+
+    A failure in between leaves rows twice, never none.
+    """
     spark = lake.spark
-    old = [f for folder in folders for f, _, _ in paths.files(spark, f"{path}/{folder}")]
     aside = f"{path}/_swap"
     paths.delete(spark, aside)
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -53,30 +58,45 @@ def by_folder(lake: Lake, path: str) -> dict[str, list[str]]:
     return found
 
 
-def compact(lake: Lake, db: str, name: str, least: int = LEAST_FILES, older_than: datetime | None = None, daily: bool = False) -> dict:
+def folder_ends(folder: str) -> datetime:
+    """The end of the hour that a folder holds."""
+    return datetime.strptime(folder.replace(f"{DAY}=", "").replace(f"/{HOUR}=", " "), "%Y-%m-%d %H") + timedelta(hours=1)
+
+
+def compact(lake: Lake, db: str, name: str, least: int = LEAST_FILES, older_than: datetime | None = None, daily: bool = False, at_once: int = FILES_AT_ONCE) -> dict:
     """Rewrites hours (daily: days) with at least `least` files: sorted, deduplicated by tags and time, few files.
 
-    Only hours that end before older_than are taken. Files that can't be read are skipped.
+    Only hours that end before older_than are taken, and only their files are read, about `at_once` in one job; an
+    hour is never split over two. Files that are no Parquet are left where they are; one that breaks later fails its
+    job before anything is deleted.
     """
     spark, path, known = lake.spark, lake.path(db, name), lake.properties(db, name)
     folders = by_folder(lake, path)
     groups: dict[str, list[str]] = {}
     for folder in folders:
         groups.setdefault(folder.split("/")[0] if daily else folder, []).append(folder)
-    chosen = []
+    chosen, before, batch = [], 0, []
+
+    def flush() -> None:
+        if batch:
+            swap(lake, dedup(lake._scan(path, batch), known["tags"], known["dedup_time"]), path, batch, known)
+            batch.clear()
+
     for fs in groups.values():
-        n = sum(len(folders[f]) for f in fs)
-        last = max(fs)
-        ends = datetime.strptime(last.replace(f"{DAY}=", "").replace(f"/{HOUR}=", " "), "%Y-%m-%d %H") + timedelta(hours=1)
-        if n >= least and (older_than is None or ends <= older_than):
-            chosen += fs
-    before = sum(len(folders[f]) for f in chosen)
-    if chosen:
-        pairs = [(f.split("/")[0].split("=")[1], f.split("/")[1].split("=")[1]) for f in chosen]
-        rows = lake._scan(path).join(F.broadcast(spark.createDataFrame(pairs, f"{DAY} string, {HOUR} string")), [DAY, HOUR])
-        swap(lake, dedup(rows, known["tags"], known["dedup_time"]), path, chosen, known)
+        if sum(len(folders[f]) for f in fs) < least or (older_than is not None and folder_ends(max(fs)) > older_than):
+            continue
+        sound = paths.parquet_only(spark, [f for folder in fs for f in folders[folder]])
+        if len(sound) < least:
+            continue
+        chosen += fs
+        before += len(sound)
+        batch += sound
+        if len(batch) >= at_once:
+            flush()
+    flush()
     after = by_folder(lake, path)
-    return {"folders": len(chosen), "files_before": before, "files_after": sum(len(after[f]) for f in chosen)}
+    left = sum(len(folders[f]) for f in chosen) - before
+    return {"folders": len(chosen), "files_before": before, "files_after": sum(len(after[f]) for f in chosen) - left}
 
 
 def retain(lake: Lake, db: str, name: str, days: float, now: datetime, buffer_days: float = 0, dry_run: bool = False) -> list[str]:
@@ -89,7 +109,7 @@ def retain(lake: Lake, db: str, name: str, days: float, now: datetime, buffer_da
             continue
         # folders of later days cannot hold such files, and are pruned
         of = df.filter(F.col(DAY) <= limit.strftime("%Y-%m-%d")).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max("time").alias("last"))
-        gone += [r["file"] for r in of.filter(F.col("last") < F.lit(str(limit)).cast("timestamp_ntz")).collect()]  # one row a file
+        gone += [unquote(r["file"]) for r in of.filter(F.col("last") < F.lit(str(limit)).cast("timestamp_ntz")).collect()]  # one row a file
     if not dry_run:
         paths.each(lambda f: paths.delete(lake.spark, f), gone)
     return sorted(gone)
@@ -99,26 +119,28 @@ TRUE = ("1=1", "true", "1", "(1=1)", "(true)")
 
 
 def delete_where(lake: Lake, db: str, name: str, condition: str, confirm: bool = False, dry_run: bool = False, most: int = MOST_DELETED) -> dict:
-    """Deletes the rows for which the condition holds; rows for which it is unknown stay.
+    """Deletes the rows for which the condition holds, in all tiers; rows for which it is unknown stay.
 
-    Only hours with such rows are rewritten. A condition that always holds needs confirm; more rows than `most` are
-    refused.
+    Only files with such rows are read again and rewritten. A condition that always holds needs confirm; more rows
+    than `most` are refused.
     """
     predicate = F.coalesce(F.expr(condition), F.lit(False))
-    path = lake.path(db, name)
-    df = lake._scan(path)
     always = "".join(condition.lower().split()) in TRUE
     if always and not confirm:
         raise ValueError("the condition holds for all rows; confirm=True is needed")
-    hit = {(r[DAY], r[HOUR]): r["n"] for r in df.filter(predicate).groupBy(DAY, HOUR).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row an hour
-    n = sum(hit.values())
+    hit: dict[str, dict[str, int]] = {}
+    for tier in lake.tiers():
+        path = lake.path(db, name, tier)
+        if (df := lake._scan(path)) is not None:
+            per_file = df.filter(predicate).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+            hit[path] = {unquote(r["file"]): r["n"] for r in per_file.collect()}  # one row a file
+    n = sum(sum(found.values()) for found in hit.values())
     if n > most:
         raise ValueError(f"{n} rows match; at most {most} may be deleted at once")
-    if n and not dry_run:
-        hours = lake.spark.createDataFrame(list(hit), f"{DAY} string, {HOUR} string")
-        kept = df.join(F.broadcast(hours), [DAY, HOUR]).filter(~predicate)
-        swap(lake, kept, path, [f"{DAY}={d}/{HOUR}={h}" for d, h in hit], lake.properties(db, name))
-    return {"rows": n, "folders": len(hit)}
+    for path, found in hit.items():
+        if found and not dry_run:
+            swap(lake, lake._scan(path, list(found)).filter(~predicate), path, list(found), lake.properties(db, name))
+    return {"rows": n, "files": sum(map(len, hit.values()))}
 
 
 def migrate(lake: Lake, db: str, name: str, max_age_days: float, now: datetime, hot_only: bool = False) -> list[str]:
@@ -127,8 +149,7 @@ def migrate(lake: Lake, db: str, name: str, max_age_days: float, now: datetime,
         return []
     limit, moved, old = now - timedelta(days=max_age_days), [], []
     for folder, files in by_folder(lake, lake.path(db, name, HOT)).items():
-        ends = datetime.strptime(folder.replace(f"{DAY}=", "").replace(f"/{HOUR}=", " "), "%Y-%m-%d %H") + timedelta(hours=1)
-        if ends <= limit:
+        if folder_ends(folder) <= limit:
             old += files
             moved.append(folder)
 

@@ -70,6 +70,26 @@ def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def parquet_only(spark: SparkSession, found: list[str], threads: int = 32) -> list[str]:
+    """Those of the files that begin and end as Parquet does."""
+
+    def sound(path: str) -> bool:
+        fs, p = _fs(spark, path)
+        size = fs.getFileStatus(p).getLen()
+        if size < 12:
+            return False
+        stream = fs.open(p)
+        try:
+            head = bytes(stream.readNBytes(4))
+            stream.seek(size - 4)
+            return head == bytes(stream.readNBytes(4)) == b"PAR1"
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(threads) as pool:
+        return [f for f, ok in zip(found, pool.map(sound, found), strict=True) if ok]
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _fs(spark, path)
     if not fs.exists(p):

@@ -83,3 +83,44 @@ def k7_arrow_round_trip(load, spark):
     if packed["data"] != [c.to_pylist() for c in table.sort_by("user_id").columns]:
         raise AssertionError("the two forms of one result differ")
     return spark.createDataFrame(table)
+
+
+@query("SELECT user_id, count(*) AS n, max(value) AS most FROM events GROUP BY user_id")
+def k6_json_round_trip(load, spark):
+    """A result sent as a JSON document, piece by piece, and read back."""
+    import json
+
+    from tidelake.plans.dialect import json_rows
+
+    out = load("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
+    document = json.loads("".join(json_rows(out, every=100)))
+    if document["row_count"] != len(document["data"]) or document["columns"] != out.columns:
+        raise AssertionError("the document contradicts itself")
+    return spark.createDataFrame([tuple(r) for r in document["data"]], out.schema)
+
+
+SECONDS = [0, 10, 20, 30, 61, 65, 75, 100, 3599, 3605]
+
+
+@query(f"SELECT second, second NOT IN (30, 65, 3599) AS admitted FROM (SELECT unnest({SECONDS}) AS second)")
+def y3_limits(load, spark):
+    """Three requests a minute refuse those at 30 and 65; six an hour refuse that at 3599, until the first is an hour old."""
+    governor = safety.Governor(per_minute=3, per_hour=6)
+    seconds = SECONDS
+    return spark.createDataFrame([(s, governor.admit(float(s))) for s in seconds], "second int, admitted boolean")
+
+
+@query("SELECT 'SELECT count(*) FROM events WHERE event_type = ''?'' AND event_id > ?' AS text, 'done' AS state, count(*) AS n FROM events WHERE event_type = 'view' AND event_id > 10 UNION ALL SELECT 'SELECT missing FROM events', 'failed', NULL")
+def i7_query_history(load, spark):
+    """Two queries run through the registry: one ends, one fails; their texts are kept without literals."""
+    from tidelake.operators.registry import QueryRegistry
+
+    registry, found = QueryRegistry(spark), {}
+    load("events").createOrReplaceTempView("events")
+    for text in ("SELECT count(*) FROM events WHERE event_type = 'view' AND event_id > 10", "SELECT missing FROM events"):
+        try:
+            n = registry.run(text, lambda text=text: spark.sql(text).first()[0])
+        except Exception:  # noqa: BLE001  (the registry keeps what failed)
+            n = None
+        found[registry.done[-1].id] = n
+    return spark.createDataFrame([(r.text, r.state, found[r.id]) for r in registry.done], "text string, state string, n long")

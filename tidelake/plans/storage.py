@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import datetime
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelake import paths
@@ -316,3 +318,55 @@ def s11_two_line_elements(load, spark):
     text = F.concat(F.lit("SAT "), k.cast("string"), F.lit("\n"), checked(one), F.lit("\n"), checked(two), F.lit("\n"))
     out = two_line_elements(load("supplier").select(text.alias("value")))
     return out.select("norad_id", "object_name", "time", F.round("semi_major_axis_km", 3).alias("semi_major_axis_km"), F.round("period_min", 6).alias("period_min"), "orbit_type")
+
+
+@query("SELECT CASE WHEN date_trunc('hour', ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-15' THEN 'cold' ELSE 'hot' END AS tier, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1")
+def m9_tier_migration(load, spark):
+    lake = lake_of(spark, "m9", cold=True)
+    lake.write(events(load), "main", "events", ["event_type", "host"])
+    maintenance.migrate(lake, "main", "events", 10, datetime(2024, 1, 25))
+    tiers = [d.select("time", F.lit(t).alias("tier")) for t in lake.tiers() if (d := lake._scan(lake.path("main", "events", t))) is not None]
+    rows = functools.reduce(DataFrame.unionByName, tiers)
+    return rows.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
+
+
+@query(f"SELECT * FROM ({PLAIN}) WHERE time >= TIMESTAMP '2024-01-13 07:30:00' AND time < TIMESTAMP '2024-01-17 05:00:00'")
+def m10_tier_lookup(load, spark):
+    """A range over both tiers: each tier's folders are pruned by it."""
+    lake = lake_of(spark, "m10", cold=True)
+    lake.write(events(load), "main", "events", ["event_type", "host"])
+    maintenance.migrate(lake, "main", "events", 10, datetime(2024, 1, 25))
+    return lake.read("main", "events", "2024-01-13 07:30:00", "2024-01-17 05:00:00")
+
+
+@query(PLAIN)
+def m6_broken_files(load, spark):
+    """Files that are no Parquet lie among the others; reads skip them, compaction leaves them."""
+    lake = lake_of(spark, "m6")
+    e = events(load)
+    for part in range(2):
+        lake.write(e.filter(F.col("event_id") % 2 == part), "main", "events", ["event_type", "host", "event_id"])
+    for folder in sorted(maintenance.by_folder(lake, lake.path("main", "events")))[:3]:
+        paths.write_text(spark, f"{lake.path('main', 'events')}/{folder}/broken.parquet", "no Parquet file at all")
+    maintenance.compact(lake, "main", "events", least=2)
+    return lake.read("main", "events")
+
+
+@query("SELECT date_trunc('hour', ts) AS time, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE ts >= TIMESTAMP '2024-01-07' AND ts < TIMESTAMP '2024-01-09' GROUP BY 1")
+def c3_backfill(load, spark):
+    """An explicit range, run twice; its rows have a time of their own and no tags."""
+    lake = lake_of(spark, "c3")
+    lake.write(events(load), "main", "events", ["event_type", "host"])
+    text = "SELECT cast(date_trunc('hour', time) AS timestamp_ntz) AS time, count(*) AS n, count(DISTINCT host) AS users FROM main.events WHERE time >= {start_time} AND time < {end_time} GROUP BY 1"
+    cq = ContinuousQuery(lake, "main", "events", "hours", text)
+    for _ in range(2):
+        cq.run(datetime(2024, 1, 7), datetime(2024, 1, 9))
+    maintenance.compact(lake, "main", "hours", least=1)
+    return lake.read("main", "hours")
+
+
+@query("SELECT count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-13 12:00:00') AS too_old, count(*) FILTER (WHERE ts > TIMESTAMP '2024-01-20 13:00:00') AS ahead FROM events")
+def c10_misplaced_times(load, spark):
+    from tidelake.streaming.continuous import misplaced
+
+    return misplaced(events(load), datetime(2024, 1, 20, 12))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import dataclasses
 import re
+import threading
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +32,8 @@ class ContinuousQuery:
     """SQL with {start_time} and {end_time} over source, run window by window into target.
 
     The rows are written before the progress is, so a run that fails is run again; rows without a time get the
-    window's start, and the target is deduplicated by its tags and time, so running again changes nothing.
+    window's start, and the target is deduplicated by its tags and time, so running again changes nothing. Without
+    tags a time must be unique; a window where it is not is refused before anything is written.
     """
 
     lake: Lake
@@ -60,10 +63,11 @@ class ContinuousQuery:
         return self.sql.replace("{start_time}", stamp(start)).replace("{end_time}", stamp(end))
 
     def result(self, start: datetime, end: datetime) -> DataFrame:
-        view = f"{self.db}_{self.source}".replace("-", "_")
+        view = f"{self.db}_{self.source}_to_{self.target}".replace("-", "_")  # of this query alone, as others may run beside it
         self.lake.read(self.db, self.source, start, end).createOrReplaceTempView(view)
         query = re.sub(rf"\b{re.escape(self.db)}\.{re.escape(self.source)}\b", view, self.text(start, end))
         out = self.lake.spark.sql(query)
+        self.lake.spark.catalog.dropTempView(view)
         return out if "time" in out.columns else out.withColumn("time", F.lit(str(start)).cast("timestamp_ntz"))
 
     def run(self, start: datetime, end: datetime, dry_run: bool = False) -> str:
@@ -72,8 +76,14 @@ class ContinuousQuery:
             raise ValueError("the window is empty")
         if dry_run:
             return self.text(start, end)
-        out = self.result(start, end)
-        self.lake.write(out, self.db, self.target, tags=[t for t in self.tags if t in out.columns], dedup_time=not self.tags)
+        out = self.result(start, end).persist()
+        try:
+            tags = [t for t in self.tags if t in out.columns]
+            if not tags and not out.groupBy("time").count().filter("count > 1").isEmpty():
+                raise ValueError("rows of one time and no tags to tell them apart by: state the tags")
+            self.lake.write(out, self.db, self.target, tags=tags, dedup_time=not tags)
+        finally:
+            out.unpersist()
         return self.text(start, end)
 
     def advance(self, now: datetime) -> list[tuple[datetime, datetime]]:
@@ -87,6 +97,32 @@ class ContinuousQuery:
         return done
 
 
+def schedule(queries: list[ContinuousQuery], stop: threading.Event, now: Callable[[], datetime], failed: Callable[[ContinuousQuery, Exception], None]) -> list[threading.Thread]:
+    """Advances each query in a thread of its own, once in its interval, until stop is set.
+
+    A run that fails is reported and its windows are run at the next turn, as progress is kept after the rows.
+    """
+
+    def turns(cq: ContinuousQuery) -> None:
+        while not stop.is_set():
+            try:
+                cq.advance(now())
+            except Exception as e:  # noqa: BLE001  (one query's failure must not end its schedule)
+                failed(cq, e)
+            stop.wait(duration(cq.interval).total_seconds())
+
+    threads = [threading.Thread(target=turns, args=(cq,), daemon=True) for cq in queries]
+    for t in threads:
+        t.start()
+    return threads
+
+
+def misplaced(df: DataFrame, now: datetime, old: timedelta = timedelta(days=7), ahead: timedelta = timedelta(hours=1)) -> DataFrame:
+    """(too_old, ahead): how many rows of a write lie far from now; they are reported, never refused."""
+    bound = lambda t: F.lit(str(t)).cast("timestamp_ntz")
+    return df.agg(F.count_if(F.col("time") < bound(now - old)).alias("too_old"), F.count_if(F.col("time") > bound(now + ahead)).alias("ahead"))
+
+
 def stream_buckets(stream: DataFrame, width: str = "1 hour", late: str = "1 hour", keys: tuple[str, ...] = ()) -> DataFrame:
     """Counts and sums of a stream (ts, value, ...) by tumbling windows, with a watermark for late rows.
 
