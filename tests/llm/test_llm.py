@@ -108,6 +108,14 @@ def test_quality_odd(spark, odd, none):
     assert quality.quality_scores(none, labels).count() == 0
 
 
+def test_quality_fetches_one_row_a_label(spark, odd, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.append((texts, labels)))
+    rows = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(4, "a smaller text")] * 3, "doc_id long, text string"))
+    quality.trained(rows, spark.createDataFrame([(4, 0, 0), (4, 1, 1), (5, 0, 0), (9, 0, 0)], LAB))  # 5 is held out
+    assert seen == [(["a smaller text", "tiny"], [1, 0])]
+
+
 # ---------------------------------------------------------------- 2
 
 

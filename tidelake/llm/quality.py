@@ -165,7 +165,10 @@ def scorer(model: Model):
 
 
 def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from at most fit_rows labelled rows of docs that are not held out; only text and quality are looked at."""
+    """A model from at most fit_rows labelled rows of docs that are not held out; only text and quality are looked at.
+
+    Of rows that share a doc_id the one with the smallest text is taken, so repeated rows don't add to what is fetched.
+    """
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     some = (
         known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -173,7 +176,8 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
         .select(F.col("doc_id").alias("labelled"), "quality")
     )
     texts = docs.filter(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(some), F.col("doc_id") == F.col("labelled"))
-    rows = sorted((r["labelled"], r["text"], r["quality"]) for r in texts.select("labelled", "text", "quality").collect())  # bounded by fit_rows
+    one = texts.groupBy("labelled").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))  # rows may share a doc_id
+    rows = sorted((r["labelled"], r["text"], r["quality"]) for r in one.collect())  # bounded by fit_rows
     return fit([t for _, t, _ in rows], [q for _, _, q in rows])
 
 
@@ -200,7 +204,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 
     score is from 0 to 1, higher where label 1 is likelier; a whole text is scored whatever its length. Null and empty
     texts have the score of a text without words. Labels other than 0 and 1 are not used; of repeated labels the
-    larger counts. Without labels, or with labels of one class, all scores are the class's smoothed share. Repeated
+    larger counts, and of rows that share a doc_id one is fitted on. Without labels, or with labels of one class, all scores are the class's smoothed share. Repeated
     rows are scored alike; a null doc_id is not held out. An empty table gives an empty table. Other columns are not
     read, and doc_id, lang and source are no inputs.
     """
