@@ -27,6 +27,13 @@ def test_lines():
     assert line_protocol.parse_line("m v=abc")[5] == {"v": "abc"}
 
 
+@given(st.text('a,= "\\\\é', max_size=12), st.sampled_from(",= "), st.booleans())
+@settings(max_examples=500, deadline=None)
+def test_cut_is_the_pattern(text, stop, quotes):
+    end = line_protocol.upto(stop, quotes).match(text).end()
+    assert line_protocol.cut(text, stop, quotes) == (text[:end], text[end : end + 1], text[end + 1 :])
+
+
 def test_line_table(spark):
     df = spark.createDataFrame([("cpu,host=a u=1,n=1i 1\ncpu,host=b u=2i,host=\"x\" 1000\nbad\nmem f=1",)], "value string")
     table, tags = to_table(line_protocol.line_protocol(df), "cpu", now="2024-01-01")

@@ -14,17 +14,22 @@ PRECISIONS = {"ns": (1, 1000), "us": (1, 1), "ms": (1000, 1), "s": (1_000_000, 1
 TRUE, FALSE = {"t", "T", "true", "True", "TRUE"}, {"f", "F", "false", "False", "FALSE"}
 
 
-def cut(text: str, stops: str, quotes: bool = False) -> tuple[str, str, str]:
+def cut(text: str, stop: str, quotes: bool = False) -> tuple[str, str, str]:
     """(up to the first stop that no backslash or quote covers, the stop, the rest)."""
-    end = upto(stops, quotes).match(text).end()
+    end = text.find(stop)
+    if end < 0:
+        end = len(text)
+    # what covers a stop lies before it
+    if text.find("\\", 0, end) >= 0 or quotes and text.find('"', 0, end) >= 0:
+        end = upto(stop, quotes).match(text).end()
     return text[:end], text[end : end + 1], text[end + 1 :]
 
 
 @functools.cache
-def upto(stops: str, quotes: bool) -> re.Pattern:
+def upto(stop: str, quotes: bool) -> re.Pattern:
     """What goes on to a stop: other characters, any after a backslash, and quoted text (to the end, if left open)."""
     quoted = r'|"(?:[^"\\]|\\.)*(?:"|\\?$)' if quotes else ""
-    return re.compile(rf'(?:[^\\{re.escape(stops)}{chr(34) if quotes else ""}]+|\\.{quoted}|\\$)*', re.S)
+    return re.compile(rf'(?:[^\\{re.escape(stop)}{chr(34) if quotes else ""}]+|\\.{quoted}|\\$)*', re.S)
 
 
 def plain(text: str, special: str) -> str:

@@ -44,8 +44,7 @@ def decoded(df: DataFrame, column: str, decode) -> DataFrame:
     def run(batches):
         for b in batches:
             found: list[tuple] = []
-            for v in b.column(0):
-                value = v.as_py()
+            for value in b.column(0).to_pylist():
                 if value is not None:
                     found += decode(value)
                 if len(found) >= 10_000:
