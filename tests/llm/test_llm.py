@@ -197,6 +197,18 @@ def test_mixing_sql_and_nearness(spark, odd, none, docs, sf_dir):
     assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(none).count() == 0
 
 
+def test_mixed_draws_each_row_where_ids_repeat_or_are_null(spark, odd):
+    rows = [(None if i % 3 == 0 else i, f"{s} {i} " + "word " * (i % 40), "en", s, 1) for s, n in (("a", 900), ("b", 300), ("c", 600)) for i in range(n)]
+    for df in (spark.createDataFrame(rows, DOCS), odd):
+        plan = mixing.mix_plan(df).groupBy("source", "doc_id", "size").agg(F.sum("copies").alias("n")).filter("n > 0").collect()
+        got = mixing.mixed(df).groupBy("source", "doc_id", mixing.words(F.col("text")).alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, plan))
+    df = spark.createDataFrame(rows, DOCS)
+    of = mixing.source_targets(df.select("source", mixing.words(F.col("text")).alias("size"))).select("source", "target").collect()
+    taken = dict(map(tuple, mixing.mixed(df).groupBy("source").agg(F.sum(mixing.words(F.col("text")))).collect()))
+    assert all(abs(taken[s] / target - 1) < 0.03 for s, target in of)
+
+
 # ---------------------------------------------------------------- 4
 
 

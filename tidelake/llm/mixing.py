@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidelake.llm.common import numbered, written
+from tidelake.llm.common import fresh, numbered, written
 
 #: Weights of the sources by code point, repeated; the mix's share of all sizes; the most that a source is repeated.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return of.select("source", "source_size", F.when(F.col("stopped"), F.col("cap")).otherwise(left * F.col("weight") / free).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, parts: int = PARTS) -> DataFrame:
+def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, parts: int = PARTS, row: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for each row of docs (doc_id, text, source, ...).
 
     A source's rate is its target over its size. Each document is taken floor(rate) times and once more by a
@@ -59,16 +59,20 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     near its target even if few documents hold most of its words. A source of size 0 has target 0 and its documents
     are taken once. Null text: size 0. Null source: a source of its own, last in order. Repeated rows and equal
     doc_ids are drawn for each row. Reruns agree: the order uses only what the rows hold. Other columns are not read.
+    row names a column of docs that tells rows apart: it comes with the plan as row, and of rows with equal doc_ids
+    and sizes the text's hash, then row, say which is drawn first.
     """
+    known = {} if row is None else {"text_hash": F.xxhash64("text"), "row": F.col(row)}
     rows = written(
         docs.select(
             "doc_id", "source", words(F.col("text")).alias("size"),
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("lot"),
+            *(c.alias(name) for name, c in known.items()),
         )
     )
     targets = source_targets(rows, weights, share, most).withColumnRenamed("source", "_s")
     rows = rows.withColumn("size_class", F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int")).withColumn("part", (F.conv(F.substring("lot", 9, 4), 16, 10).cast("int") % parts))
-    ranked = numbered(rows, ["source"], ["size_class", "part"], [F.col("lot"), F.col("doc_id"), F.col("size")], "place")
+    ranked = numbered(rows, ["source"], ["size_class", "part"], [F.col(c) for c in ("lot", "doc_id", "size", *known)], "place")
     n = targets.select("_s").count()
     of = F.broadcast(targets) if n <= 10_000 else targets
     drawn = ranked.join(of, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -76,16 +80,18 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     start = unit(F.coalesce(F.concat(F.lit("v"), F.col("source")), F.lit("n")))
     turn = start + F.col("place") * F.lit(0.6180339887498949)
     copies = F.floor(rate) + F.when(turn - F.floor(turn) < rate - F.floor(rate), 1).otherwise(0)
-    return drawn.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("size_class", "part", "lot", "place")
+    return drawn.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("size_class", "part", "lot", "place", "text_hash")
 
 
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs, all columns, each as many times as mix_plan() takes it.
 
-    The plan is joined by doc_id after one row a doc_id is made of it; rows that share a doc_id each get the copies
-    that their doc_id's first row has, in every column order.
+    docs is written once with a number for each row, which the plan carries and by which the copies are joined, so
+    rows with equal or null doc_ids each get the copies that were drawn for them.
     """
-    plan = mix_plan(docs, **parameters).groupBy("doc_id").agg(F.min("copies").cast("int").alias("copies"))
-    held = docs.select(F.struct("*").alias("doc"))  # so that no name of docs meets one of ours
-    taken = held.join(plan.filter("copies > 0"), F.col("doc.doc_id").eqNullSafe(F.col("doc_id")))
-    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")
+    (row,) = fresh(docs, "row")
+    read = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    plan = mix_plan(read, row=row, **parameters).filter("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
+    held = read.select(F.col(row).alias("row"), F.struct("*").alias("doc"))  # so that no name of docs meets one of ours
+    taken = held.join(plan, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return taken.select("doc.*").drop(row)
