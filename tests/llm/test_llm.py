@@ -412,6 +412,39 @@ def test_sharding(spark, docs, odd, none, monkeypatch):
     assert sharding.sharded(none).count() == 0
 
 
+def test_sharding_cuts_no_group_that_fits(spark):
+    rnd = random.Random(5)
+    sizes = [1333, 90, 70, 50, 30, 20, *(rnd.randint(2, 5) for _ in range(170))]
+    copies = [f"group {i}" for i, n in enumerate(sizes) for _ in range(n)]
+    copies += [f"single {i}" for i in range(4000 - len(copies))]
+    rnd.shuffle(copies)
+    rows = sharding.sharded(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(copies)], DOCS)).collect()
+    check_shards(rows, 4000, 40)
+    spread = defaultdict(Counter)
+    for r in rows:
+        spread[r["group"], r["group_size"]][r["shard"]] += 1
+    assert Counter(n for _, n in spread) == Counter(sizes) + Counter({1: 4000 - sum(sizes)})
+    assert all(len(c) == 1 for (_, n), c in spread.items() if n <= 100)
+    assert all(len(c) == 14 for (_, n), c in spread.items() if n > 100)
+
+
+@pytest.mark.parametrize("sizes,shards,most_cut", [([2] * 2000, 40, 0), ([501] * 79, 40, 39), ([3] * 1333, 40, 14), ([600] * 20 + [400] * 20, 20, 0), ([2] * 9 + [30], 50, 10), ([], 7, 0)])
+def test_sharding_quotas(sizes, shards, most_cut):
+    rnd = random.Random(len(sizes))
+    n = max(sum(sizes), 20_000 if 600 in sizes else 0)
+    capacity = [n // shards + (s < n % shards) for s in range(shards)]
+    asks = Counter((z, rnd.randrange(shards)) for z in sizes)
+    runs, cut, room, cost = min((sharding.let_in(asks, capacity, heed) for heed in (True, False)), key=lambda p: p[-1])
+    held = [0] * shards
+    for (size, shard), run in runs.items():
+        for (first, to), end in zip(run, [a for a, _ in run[1:]] + [asks[size, shard]]):
+            assert end > first
+            for k, s in [(size * (end - first), to)] if to >= 0 else cut[-1 - to]:
+                held[s] += k
+    assert [h + r for h, r in zip(held, room)] == capacity and min(room, default=0) >= 0
+    assert sum(held) == sum(sizes) and len(cut) <= most_cut and (cost > 0) == (len(cut) > 0)
+
+
 # ---------------------------------------------------------------- 10
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidelake.llm.common import discard, numbered, written
 
-SHARDS, ROUNDS = 40, 4
-#: Rows of a group up to which its members stand together in a queue; larger groups are dealt over the queue's parts.
-TOGETHER = 500
-#: Rows that one task numbers, about.
-PART_ROWS = 20_000
+SHARDS = 40
+#: Rows that one task numbers, about; parts of a numbering at least.
+PART_ROWS, LEAST_PARTS = 20_000, 256
 
 
 def at_index(values: list[int], index: Column) -> Column:
@@ -25,27 +24,69 @@ def interval(starts: list[int], index: Column) -> Column:
     return F.size(F.filter(F.array(*(F.lit(int(v)) for v in starts)), lambda s: s <= index)) - 1
 
 
-def spread(queue: str, parts: int) -> Column:
-    """Part of a queue that a row is numbered in: a group's rows share one, unless the group is large."""
-    whole = F.xxhash64(F.lit(queue), "g")
-    return F.pmod(F.when(F.col("group_size") > TOGETHER, F.xxhash64(F.lit(queue), "g", "row")).otherwise(whole), F.lit(parts)).cast("int")
-
+def let_in(asks: dict[tuple[int, int], int], capacity: list[int], heed: bool) -> tuple[dict, list, list[int], int]:
+    """Where groups go that ask for a shard, the largest first: (runs, cut, room, cost).
 
-def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    asks has the number of groups by (size, shard asked for). A shard's quota is its room: all its rows but those of
+    groups let in before. runs has for each key of asks [(first group, shard)], or [(first group, -1 - i)] for a group
+    that fits no shard and is cut into cut[i], [(rows, shard)]. Groups that their shard refuses go where the room is
+    tightest; with heed=False they don't ask at all. A cut group fills the largest rooms, each but its last wholly, so
+    at most one group a shard is cut. room is what is left for rows without links, cost the number of cut links.
+    """
+    room, runs, cut, cost = list(capacity), defaultdict(list), [], 0
+    of_size = defaultdict(dict)
+    for (size, shard), n in asks.items():
+        of_size[size][shard] = n
+    for size in sorted(of_size, reverse=True):
+        refused = []
+        for shard, n in sorted(of_size[size].items()):
+            k = min(n, room[shard] // size) if heed else 0
+            if k:
+                runs[size, shard].append((0, shard))
+                room[shard] -= k * size
+            if k < n:
+                refused.append((shard, k, n))
+        for shard, first, n in refused:
+            for to in sorted((s for s, r in enumerate(room) if r >= size), key=lambda s: (room[s], s != shard, s)):
+                k = min(n - first, room[to] // size)
+                if not k:
+                    break
+                runs[size, shard].append((first, to))
+                room[to] -= k * size
+                first += k
+            while first < n:
+                left, pieces = size, []
+                for to in sorted(range(len(room)), key=lambda s: (-room[s], s != shard, s)):
+                    k = min(left, room[to])
+                    if not k:
+                        break
+                    pieces.append((k, to))
+                    room[to] -= k
+                    left -= k
+                runs[size, shard].append((first, -1 - len(cut)))
+                cut.append(pieces)
+                cost += (size * size - sum(k * k for k, _ in pieces)) // 2
+                first += 1
+    return dict(runs), cut, room, cost
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, group, group_size) for each row of docs (doc_id, text, ...).
 
     Law `rows`: shards' counts of rows differ by one at most. Documents with equal texts are linked; a link between
-    two shards is cut. Rows start in the shards by turns. In each round a group asks for the shard where most of its
-    rows are (a group larger than a shard: for as many shards as it fills, in that order), its rows elsewhere queue
-    for that shard, and as many are let in as the shard has rows without links, its quota. Rows without links then
-    leave the shards that have too many for those that have too few. Only moves to a shard that holds more of the
-    group are made, so cut links only get fewer; rounds end early when nobody moves.
+    two shards is cut. Rows start in the shards by turns. A group takes the label of the shard where most of its rows
+    are and asks to be let in there as a whole, large groups first (let_in). A shard's quota counts all room that its
+    rows leave that are not let in: rows without links and rows of groups that go elsewhere, so shards exchange rows.
+    A refused group takes the label of a shard that has room for all of it; it is cut only if none has, which at most
+    one group a shard can be. After that each group's label is that of the shard where all its rows are, so another
+    round would move nothing. Rows without links fill the room that is left. Should asking cut more links than
+    packing the groups without regard to where they started, they are packed.
 
     size is the text's UTF-8 bytes (null: none) plus 16; text_crc32 is of the UTF-8 bytes, null as empty; null and
     empty texts are equal. slot is gapless from 0 in each shard. Repeated rows are rows of their own. Shards without
     rows don't occur; an empty table gives an empty table. Other columns are not read. Texts are read once; joins
-    move slim rows, hot groups are split by AQE or counted before the shuffle, and only one number a shard comes to
-    the driver.
+    move slim rows, hot groups are split by AQE or counted before the shuffle, and to the driver come only counts of
+    groups by size and shard: n rows have at most sqrt(2n) sizes.
     """
     text = F.coalesce("text", F.lit(""))
     read = docs.select(
@@ -54,73 +95,55 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     )
     rows = written(read)
     n = rows.count()
-    parts = max(1, -(-n // PART_ROWS))
+    parts = max(LEAST_PARTS, -(-n // PART_ROWS))
     capacity = [n // shards + (s < n % shards) for s in range(shards)]
+    counts = rows.groupBy("g", F.pmod("row", F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    # the hash breaks ties evenly
+    most = F.max(F.struct("n", F.xxhash64("g", "shard").alias("tie"), "shard"))["shard"]
+    groups = written(counts.groupBy("g").agg(F.sum("n").alias("group_size"), most.alias("asked")).filter("group_size > 1"))
+    asks = {(r["group_size"], r["asked"]): r["n"] for r in groups.groupBy("group_size", "asked").agg(F.count(F.lit(1)).alias("n")).collect()}
+    runs, cut, room, _ = min((let_in(asks, capacity, heed) for heed in (True, False)), key=lambda p: p[-1])
+    labelled = written(labels(groups, runs, parts))
+    discard(groups)
     # a table of its own: joined to the plain aggregate, a hot group's rows could not be split over tasks
-    groups = written(rows.groupBy("g").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"))
-    linked = rows.join(groups, "g", "left").withColumn("group_size", F.coalesce("group_size", F.lit(1)))
-    linked = linked.withColumns({"all": F.lit(0), "part": F.pmod(F.xxhash64("g", "row"), F.lit(parts)).cast("int")})
-    state = written(numbered(linked, ["all"], ["part"], [F.col("row")], "place").withColumn("shard", (F.col("place") % shards).cast("int")).drop("all", "part", "place"))
+    state = written(rows.join(labelled, "g", "left"))
     discard(rows)
-    for step in range(rounds):
-        moved = one_round(state, shards, capacity, parts, step)
-        if moved is None:
-            break
-        discard(state)
-        state = moved
-    slots = numbered(state.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(max(1, parts // shards + 1))).cast("int")), ["shard"], ["part"], [F.col("row")], "slot")
+    discard(labelled)
+    part = F.pmod(F.xxhash64("g", "row"), F.lit(parts)).cast("int")
+    single = state.filter("label is null").withColumns({"all": F.lit(0), "part": part, "group_size": F.lit(1).cast("long")})
+    single = numbered(single, ["all"], ["part"], [F.col("row")], "place").withColumn("shard", filled([(k, s) for s, k in enumerate(room) if k], F.col("place")))
+    out = state.filter("label >= 0").withColumn("shard", F.col("label")).unionByName(single.drop("all", "part", "place"))
+    if cut:
+        pieces = numbered(state.filter("label < 0").withColumn("part", part), ["g"], ["part"], [F.col("row")], "place")
+        # the cut groups' pieces one after another, as one line of intervals: a group and shard at most each
+        before, line = [], []
+        for of in cut:
+            before.append(sum(k for k, _ in line))
+            line += of
+        pieces = pieces.withColumn("shard", filled(line, F.col("place") + at_index(before, -1 - F.col("label"))))
+        out = out.unionByName(pieces.drop("part", "place"))
+    out = written(out.drop("label"))
+    discard(state)
+    slots = numbered(out.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(max(1, parts // shards + 1))).cast("int")), ["shard"], ["part"], [F.col("row")], "slot")
     return slots.select("doc_id", "size", "text_crc32", "shard", "slot", F.col("g").alias("group"), "group_size")
 
 
-def one_round(state: DataFrame, shards: int, capacity: list[int], parts: int, step: int) -> DataFrame | None:
-    most = max(capacity)
-    linked = state.filter("group_size > 1")
-    counts = written(linked.groupBy("g", "shard", "group_size").agg(F.count(F.lit(1)).alias("n")))
-    # the shards a group asks for: those with most of its rows; the hash breaks ties evenly. One row a group and shard.
-    order = W.partitionBy("g").orderBy(F.desc("n"), F.xxhash64("g", "shard"), "shard")
-    asked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.ceil(F.col("group_size") / most))
-    asked = written(asked.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rank", "shard", "n"))).alias("asked")))  # at most one entry a shard
-    free = {r["shard"]: r["n"] for r in state.filter("group_size = 1").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a shard
-    own = counts.select("g", "shard", F.col("n").alias("here"))
-    wants = linked.join(asked, "g").join(own, ["g", "shard"])
-    # rows already in a shard that their group asks for stay; others ask for one of them, in the order of what is there
-    stays = F.exists("asked", lambda a: a["shard"] == F.col("shard"))
-    choice = F.element_at("asked", (F.pmod(F.xxhash64("row", F.lit(step)), F.size("asked")) + 1).cast("int"))
-    wants = wants.filter(~stays).withColumn("choice", choice).filter(F.col("choice.n") >= F.col("here"))
-    wants = wants.select("row", "g", "group_size", F.col("shard").alias("from"), F.col("choice.shard").alias("to"))
-    queue = numbered(wants.withColumn("part", spread(f"q{step}", parts)), ["to"], ["part"], [F.xxhash64("g"), F.col("g"), F.col("row")], "turn")
-    let_in = written(queue.filter(F.col("turn") < at_index([free.get(s, 0) for s in range(shards)], F.col("to"))).select("row", "from", "to"))
-    discard(counts)
-    discard(asked)
-    flow = let_in.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for two shards
-    if not flow:
-        discard(let_in)
-        return None
-    held = list(capacity)
-    for r in flow:
-        held[r["from"]] -= r["n"]
-        held[r["to"]] += r["n"]
-    surplus = [max(0, held[s] - capacity[s]) for s in range(shards)]
-    lack = [max(0, capacity[s] - held[s]) for s in range(shards)]
-    # rows without links make room: the first of each shard with a surplus, numbered through all shards, fill the gaps
-    single = state.filter("group_size = 1").select("row", "shard", F.pmod(F.xxhash64("row", F.lit(step)), F.lit(max(1, parts // shards + 1))).cast("int").alias("part"))
-    single = single.filter(at_index(surplus, F.col("shard")) > 0)
-    before, total = [], 0
-    for s in surplus:
-        before.append(total)
-        total += s
-    starts, sofar, to_shard = [], 0, []
-    for s, k in enumerate(lack):
-        if k:
-            starts.append(sofar)
-            to_shard.append(s)
-            sofar += k
-    leave = numbered(single, ["shard"], ["part"], [F.col("row")], "turn").filter(F.col("turn") < at_index(surplus, F.col("shard")))
-    if starts:
-        leave = leave.select("row", at_index(to_shard, interval(starts, F.col("turn") + at_index(before, F.col("shard")))).alias("to"))
-    else:
-        leave = leave.select("row", F.lit(0).alias("to")).limit(0)
-    moves = let_in.select("row", "to").unionByName(leave.select("row", F.col("to").cast("int").alias("to")))
-    out = written(state.join(moves, "row", "left").withColumn("shard", F.coalesce("to", "shard").cast("int")).drop("to"))
-    discard(let_in)
-    return out
+def filled(line: list[tuple[int, int]], index: Column) -> Column:
+    """Shard of the row at index, where rows fill a line of (rows, shard)."""
+    starts, total = [], 0
+    for k, _ in line:
+        starts.append(total)
+        total += k
+    return at_index([s for _, s in line], interval(starts, index)) if line else F.lit(None).cast("int")
+
+
+def labels(groups: DataFrame, runs: dict[tuple[int, int], list[tuple[int, int]]], parts: int) -> DataFrame:
+    """(g, group_size, label) of groups (g, group_size, asked): the shard that let_in() found, or -1 - i if cut."""
+    of = groups.sparkSession.createDataFrame(
+        [(size, asked, [a for a, _ in run], [b for _, b in run]) for (size, asked), run in runs.items()],
+        "group_size long, asked int, firsts array<long>, tos array<int>",
+    )
+    turns = numbered(groups.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int")), ["group_size", "asked"], ["part"], [F.col("g")], "turn")
+    last = F.size(F.filter("firsts", lambda first: first <= F.col("turn")))
+    # one row a size and shard, not a row
+    return turns.join(F.broadcast(of), ["group_size", "asked"]).select("g", "group_size", F.element_at("tos", last).alias("label"))
