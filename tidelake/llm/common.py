@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,18 +14,43 @@ from pyspark.sql import Window as W
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Tables written within settled(), the innermost last.
+_open: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where it names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tidelake"
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own where it names none.
+
+    The latter is for a session in one process only (tests): a folder of one machine is none that a cluster shares.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return named or "/tmp/checkpoints/tidelake"
+
+
+def file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def shared_path(spark: SparkSession, what: str = "tidelake") -> str:
+    """A new path in the shared folder. What lies there goes when the session's process ends, if not before."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p.makeQualified(fs.getUri(), fs.getWorkingDirectory()))
+    return path
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidelake-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidelake_path = path
+    for tables in _open[-1:]:
+        tables.append(path)
     return out
 
 
@@ -32,9 +58,25 @@ def discard(df: DataFrame) -> None:
     """Deletes a table that written() made and that nothing reads any more."""
     path = getattr(df, "_tidelake_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = file_system(df.sparkSession, path)
+        fs.delete(p, True)
+
+
+def settled(build: Callable[[], DataFrame], keep: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """build()'s result as a table; the tables that build() wrote on its way are deleted, but for those in keep."""
+    _open.append([])
+    try:
+        out = written(build())
+    finally:
+        tables = _open.pop()
+    held = {getattr(d, "_tidelake_path", None) for d in (out, *keep)}
+    for path in tables:
+        if path not in held:
+            fs, p = file_system(out.sparkSession, path)
+            fs.delete(p, True)
+        elif _open:
+            _open[-1].append(path)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
