@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import collections
 import dataclasses
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that a model is fitted on at most, taken by the hash of their doc_id; rows with more bytes than
-#: FIT_BYTES are not fitted on (they are scored whole like any other).
-FIT_ROWS, FIT_BYTES = 4000, 40_000
-#: Hash buckets of the embedding table, its width, lengths of the character n-grams (bytes of UTF-8).
+#: Labelled rows that a model is fitted on at most, taken by the hash of their doc_id, whole texts each.
+FIT_ROWS = 4000
+#: Hash buckets of the embedding table (their numbers take 16 bits), its width, lengths of the character n-grams.
 BUCKETS, WIDTH, GRAMS = 1 << 16, 8, (3, 4)
 EPOCHS, RATE, SMALL_BATCH = 8, 0.5, 16
 THRESHOLD = 0.7
-#: The last buckets are kept for words that repeat the word before, or the one before that.
+#: The last buckets are kept for words that repeat the word before, or the one before that: averages of single words
+#: cannot tell a text of one sentence from the sentence said often. Each counts like a word with all its n-grams.
 REPEATS = 2
 #: Distinct words whose sums a task remembers; beyond it starts anew.
 REMEMBERED = 300_000
@@ -30,13 +32,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of all words' features one after another, features of each word): the word, and its n-grams."""
-    framed = [b"<" + w + b">" for w in words]
+    """(buckets of all words' features one after another, features of each word): the word, and its n-grams.
+
+    n-grams are of characters (code points) of the word between two marks.
+    """
+    framed = [f"<{w.decode('utf-8', 'surrogatepass')}>" for w in words]
     lengths = np.fromiter(map(len, framed), np.int64, len(framed))
-    data = np.frombuffer(b"".join(framed), np.uint8).astype(np.uint64)
+    data = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     word = np.repeat(np.arange(len(words)), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(data))  # bytes up to the word's end
-    ids = [np.fromiter(map(zlib.crc32, framed), np.uint64, len(framed)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)]
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(data))  # characters up to the word's end
+    ids = [np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)]
     of = [np.arange(len(words))]
     for n in GRAMS:
         if len(data) >= n:
@@ -60,6 +65,19 @@ def repeats(words: list[bytes]) -> tuple[int, int]:
     return sum(map(bytes.__eq__, words[1:], words)), sum(map(bytes.__eq__, words[2:], words))
 
 
+def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, shares) of a document: each bucket's share of its features, the weights of the average."""
+    words = split(text)
+    distinct = collections.Counter(words)
+    r1, r2 = repeats(words)
+    ids, n = word_features(list(distinct)) if distinct else (np.empty(0, np.int64), np.empty(0, np.int64))
+    counts = np.repeat(np.fromiter(distinct.values(), np.float64, len(distinct)), n)
+    each = len(GRAMS) + 1
+    counts = np.bincount(np.append(ids, [BUCKETS - 1, BUCKETS - 2]), np.append(counts, [each * r1, each * r2]))
+    bucket = np.flatnonzero(counts)
+    return bucket.astype(np.uint16), (counts[bucket] / max(1.0, counts.sum())).astype(np.float32)
+
+
 @dataclasses.dataclass
 class Model:
     """score(document) = softmax of the averaged vectors times the output layer.
@@ -80,26 +98,13 @@ class Model:
         sums.append(np.stack([total, n.astype(np.float64)], 1))
 
 
-def fit(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
-    """Stochastic gradient descent on the softmax loss, both classes with equal weight in sum."""
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 5) -> Model:
+    """Stochastic gradient descent on the softmax loss over document_features(), both classes with equal weight in sum."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)  # nothing to tell apart
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
-    docs = []
-    for text in texts:
-        words = split(text)
-        distinct: dict[bytes, int] = {}
-        for w in words:
-            distinct[w] = distinct.get(w, 0) + 1
-        r1, r2 = repeats(words)
-        ids, n = word_features(list(distinct)) if distinct else (np.empty(0, np.int64), np.empty(0, np.int64))
-        counts = np.repeat(np.fromiter(distinct.values(), np.float64, len(distinct)), n)
-        ids, counts = np.append(ids, [BUCKETS - 1, BUCKETS - 2]), np.append(counts, [len(GRAMS) * r1 + r1, len(GRAMS) * r2 + r2])
-        bucket, at = np.unique(ids, return_inverse=True)
-        counts = np.bincount(at, counts)
-        docs.append((bucket, (counts / max(1.0, counts.sum())).astype(np.float32)))
     table = rng.normal(0, 0.5, (BUCKETS, WIDTH)).astype(np.float32)
     out = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -112,10 +117,11 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 5) -> Model:
             rate = RATE * (1 - step / steps)
             step += 1
             sizes = [len(docs[d][0]) for d in part]
-            ids = np.concatenate([docs[d][0] for d in part])
+            ids = np.concatenate([docs[d][0] for d in part]).astype(np.int64)
             share = np.concatenate([docs[d][1] for d in part])
-            start = np.cumsum(sizes) - sizes
-            mean = np.add.reduceat(table[ids] * share[:, None], start)
+            mean = np.zeros((len(part), WIDTH), np.float32)
+            if len(full := np.flatnonzero(sizes)):  # a text without words has no features
+                mean[full] = np.add.reduceat(table[ids] * share[:, None], (np.cumsum(sizes) - sizes)[full])
             z = mean @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -168,17 +174,26 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mod
     """A model from at most fit_rows labelled rows of docs that are not held out; only text and quality are looked at.
 
     Of rows that share a doc_id the one with the smallest text is taken, so repeated rows don't add to what is fetched.
+    Whole texts, however long, become features where they are read; to the driver come at most BUCKETS shares a row.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
     some = (
         known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-        .select(F.col("doc_id").alias("labelled"), "quality")
+        .select(F.col("doc_id").cast("long").alias("labelled"), F.col("quality").cast("int").alias("quality"))
     )
-    texts = docs.filter(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(some), F.col("doc_id") == F.col("labelled"))
-    one = texts.groupBy("labelled").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))  # rows may share a doc_id
-    rows = sorted((r["labelled"], r["text"], r["quality"]) for r in one.collect())  # bounded by fit_rows
-    return fit([t for _, t, _ in rows], [q for _, _, q in rows])
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = [document_features(t.as_py()) for t in batch.column(2)]
+            raw = [pa.array([x[i].tobytes() for x in of], pa.binary()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *raw], ["labelled", "quality", "buckets", "shares"])
+
+    texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled"))
+    one = texts.groupBy("labelled").agg(F.first("quality").alias("quality"), F.min("text").alias("text"))  # rows may share a doc_id
+    found = one.select("labelled", "quality", "text").mapInArrow(features, "labelled long, quality int, buckets binary, shares binary").collect()  # bounded by fit_rows
+    rows = sorted((r["labelled"], r["quality"], r["buckets"], r["shares"]) for r in found)
+    return fit([(np.frombuffer(b, np.uint16), np.frombuffer(s, np.float32)) for _, _, b, s in rows], [q for _, q, _, _ in rows])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -204,8 +219,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
 
     score is from 0 to 1, higher where label 1 is likelier; a whole text is scored whatever its length. Null and empty
     texts have the score of a text without words. Labels other than 0 and 1 are not used; of repeated labels the
-    larger counts, and of rows that share a doc_id one is fitted on. Without labels, or with labels of one class, all scores are the class's smoothed share. Repeated
-    rows are scored alike; a null doc_id is not held out. An empty table gives an empty table. Other columns are not
+    larger counts, and of rows that share a doc_id one is fitted on. Without labels, or with labels of one class, all
+    scores are the class's smoothed share. Repeated rows are scored alike; a null doc_id is not held out. An empty table gives an empty table. Other columns are not
     read, and doc_id, lang and source are no inputs.
     """
     rows = docs.select("doc_id", "text")
