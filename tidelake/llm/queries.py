@@ -88,9 +88,9 @@ FROM f
 """
 
 OP3_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
     SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-           md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS lot
+           md5(md5(coalesce('v' || source, 'n')) || '|' || coalesce('v' || doc_id, 'n') || '|' || md5(coalesce('v' || text, 'n'))) AS lot
     FROM documents
 ), s AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -110,20 +110,31 @@ WITH d AS (
            CASE WHEN stopped THEN cap ELSE (total - sum(CASE WHEN stopped THEN cap ELSE 0.0::DOUBLE END) OVER ()) * weight
                 / sum(CASE WHEN stopped THEN 0.0::DOUBLE ELSE weight END) OVER () END AS target
     FROM c
-), r AS (
-    SELECT *, row_number() OVER (
-        PARTITION BY source
-        ORDER BY CAST(floor(log2(size + 1.0::DOUBLE) * 4) AS INT), CAST(('0x' || substr(lot, 9, 4)) AS BIGINT) % 16, lot, doc_id, size
-    ) - 1 AS place FROM d
+), n AS (
+    SELECT *, count(*) OVER (PARTITION BY lot) AS alike, row_number() OVER (PARTITION BY lot) - 1 AS turn FROM d
 ), u AS (
-    SELECT r.doc_id, r.size, t.source_size, t.target,
+    SELECT n.doc_id, n.source, n.size, t.source_size, t.target,
            CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 1.0::DOUBLE END AS rate,
-           CAST(('0x' || substr(md5(coalesce('v' || r.source, 'n')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE + place * 0.6180339887498949::DOUBLE AS turn
-    FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
+           CASE WHEN alike > 1 THEN md5(lot || '#' || turn) ELSE lot END AS seed
+    FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
+), e AS (
+    SELECT *, CAST(CAST(('0x' || substr(md5(seed), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < rate - floor(rate) AS BIGINT) AS extra FROM u
+), m AS (
+    SELECT source, CAST(sum((floor(rate) + extra) * size) AS DOUBLE) - any_value(target) AS miss FROM e GROUP BY source
+), l AS (
+    SELECT source, size, extra, seed, row_number() OVER (PARTITION BY source ORDER BY size DESC, seed) AS rank
+    FROM e WHERE size > 0 AND rate > floor(rate)
+    QUALIFY rank <= 256
+), f AS (
+    SELECT source, CAST(0 AS BIGINT) AS rank, miss, CAST(NULL AS VARCHAR) AS seed, CAST(NULL AS BIGINT) AS now FROM m
+    UNION ALL
+    SELECT l.source, l.rank,
+           CASE WHEN l.extra = 1 AND f.miss * 3 > l.size * 2 THEN f.miss - l.size WHEN l.extra = 0 AND f.miss * -3 > l.size * 2 THEN f.miss + l.size ELSE f.miss END,
+           l.seed, CASE WHEN l.extra = 1 AND f.miss * 3 > l.size * 2 OR l.extra = 0 AND f.miss * -3 > l.size * 2 THEN 1 - l.extra END
+    FROM f JOIN l ON l.source IS NOT DISTINCT FROM f.source AND l.rank = f.rank + 1
 )
-SELECT doc_id, size, source_size, target,
-       CAST((floor(rate) + CASE WHEN turn - floor(turn) < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM u
+SELECT e.doc_id, e.size, source_size, target, CAST((floor(rate) + coalesce(f.now, e.extra)) * e.size AS BIGINT) AS taken
+FROM e LEFT JOIN f ON f.seed = e.seed AND f.now IS NOT NULL
 """
 
 OP4_SQL = r"""
