@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +17,8 @@ from tidelake.llm.common import partitions
 HEAD, SEP, TAIL, ESCAPE = "### ", ": ", "</turn>\n", "\\"
 #: Strings that get an escape inside texts and roles; a role's separator is one more, so that a header can be read.
 CONTROL, IN_ROLE = ("###", "</turn>"), (":",)
-#: Bytes that are assembled at a time.
-PIECE = 4 << 20
+#: Bytes that are assembled, or read back, at a time; texts with more bytes than LONG are copied as one slice.
+PIECE, LONG = 4 << 20, 1 << 16
 
 
 def escaped(column: pa.Array, control: tuple[str, ...] = CONTROL) -> pa.Array:
@@ -28,11 +27,25 @@ def escaped(column: pa.Array, control: tuple[str, ...] = CONTROL) -> pa.Array:
     return column
 
 
-UNESCAPE = re.compile(r"\\(.)", re.S)
-
-
-def unescaped(text: str) -> str:
-    return UNESCAPE.sub(r"\1", text)
+def unescaped(raw: bytes) -> bytes:
+    """The bytes without their escapes, a piece at a time; a text without any is given back as it is."""
+    if ESCAPE.encode() not in raw:
+        return raw
+    out, odd = [], 0  # odd: the piece before ended within a run, on an escape whose character is still to come
+    for i in range(0, len(raw), PIECE):
+        piece = np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - i), i)
+        at = np.flatnonzero(piece == ord(ESCAPE))
+        starts = np.flatnonzero(np.append(True, np.diff(at) != 1)[: len(at)])
+        runs = np.diff(np.append(starts, len(at)))
+        place = np.arange(len(at)) - np.repeat(starts, runs)
+        if odd and len(at) and not at[0]:
+            place[: runs[0]] += 1
+        # in a run every second one is a character, not an escape
+        keep = np.ones(len(piece), bool)
+        keep[at[place % 2 == 0]] = False
+        out.append(piece[keep].tobytes())
+        odd = len(at) > 0 and at[-1] == len(piece) - 1 and place[-1] % 2 == 0
+    return b"".join(out)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,8 +72,12 @@ def assemble(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np
         if len(at) == 2 and n != 1:  # a header: the same bytes for each turn
             out[(starts[:, i, None] + np.arange(at[1] - at[0])).ravel()] = np.tile(data[at[0] : at[1]], n)
         else:
-            held = data[at[0] : at[-1]]
-            out[np.arange(len(held)) + np.repeat(starts[:, i] - (at[:-1] - at[0]), lengths[:, i])] = held
+            long = np.flatnonzero(lengths[:, i] > LONG)
+            for j in long:  # by slices; the others by indices, one a byte
+                out[starts[j, i] : ends[j, i]] = data[at[j] : at[j + 1]]
+            for lo, hi in zip([0, *(long + 1)], [*long, n]):
+                held = data[at[lo] : at[hi]]
+                out[np.arange(len(held)) + np.repeat(starts[lo:hi, i] - (at[lo:hi] - at[lo]), lengths[lo:hi, i])] = held
     return out, np.append(starts[:, 0], ends[-1:, -1]), starts[:, 3], ends[:, 3]
 
 
@@ -112,28 +129,50 @@ def formatted(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     return ordered.select("conv_id", "turn", "role", "text").mapInArrow(build, FORMATTED)
 
 
-TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+def unescaped_place(raw: bytes, string: bytes, at: int) -> int:
+    """Where `string` next stands in raw, from `at` on, that no escape covers; -1: nowhere."""
+    start, escape = at, ESCAPE.encode()
+    while (at := raw.find(string, at)) >= 0:
+        window = 16
+        while (run := len(part := raw[max(start, at - window) : at]) - len(part.rstrip(escape))) == len(part) == window:
+            window *= 2
+        if run % 2 == 0:
+            return at
+        at += 1
+    return -1
 
 
-def read_back(text: str) -> Iterator[tuple[str, str]]:
-    """(role, text) of the turns in formatted text."""
+def read_back(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(role, text) of the turns in formatted text, by searching for the control strings: no work is done by character."""
+    head, sep, tail = HEAD.encode(), SEP.encode(), TAIL.encode()
     at = 0
-    while at < len(text):
-        m = TURN.match(text, at)
-        if not m:
+    while at < len(raw):
+        role_end = unescaped_place(raw, sep, at + len(head))
+        text_end = unescaped_place(raw, tail, role_end + len(sep)) if role_end >= 0 else -1
+        if not raw.startswith(head, at) or text_end < 0:
             raise ValueError(f"no turn at {at}")
-        yield unescaped(m[1]), unescaped(m[2])
-        at = m.end()
+        yield unescaped(raw[at + len(head) : role_end]), unescaped(raw[role_end + len(sep) : text_end])
+        at = text_end + len(tail)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+def code_points(raw: bytes) -> int:
+    """Code points of UTF-8: the bytes that don't go on with one."""
+    return sum(int(np.count_nonzero(np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - i), i) & 0xC0 != 0x80)) for i in range(0, len(raw), PIECE))
+
+
 def digests(pieces: DataFrame) -> DataFrame:
-    """One row a conversation, read back from formatted()'s output: counts and digests of its turns and its mask."""
+    """One row a conversation, read back from formatted()'s output: counts and digests of its turns and its mask.
+
+    Pieces must come as formatted() leaves them, a conversation's one after another in one task; where they don't,
+    the read fails. A conversation without conv_id is one like others; one of empty turns has empty digests' values. A
+    turn is held whole, once as it stands and once unescaped. No pieces give an empty table; other columns are not read.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state = None, None
+        conv, last, state = None, -1, None
 
         def row() -> tuple:
             n, turns, loss_n, loss, chars = state
@@ -145,24 +184,29 @@ def digests(pieces: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for c, piece, text, mask in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for i in range(batch.num_rows):
+                c, piece, mask = (batch.column(j)[i].as_py() for j in (0, 1, 3))
+                raw = batch.column(2)[i].as_py()
                 if not piece:
                     if state:
                         rows.append(row())
                     conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                state[4] += len(text)
-                raw = text.encode("utf-8", "surrogatepass")
+                elif c != conv or piece != last + 1:
+                    raise ValueError(f"piece {piece} of conversation {c} does not follow the one before it")
+                last = piece
+                state[4] += code_points(raw)
                 for span in mask:
-                    plain = unescaped(raw[span["start"] : span["end"]].decode("utf-8", "surrogatepass"))
-                    state[2] += len(plain)
-                    state[3].update(plain.encode("utf-8", "surrogatepass"))
-                for role, said in read_back(text):
+                    plain = unescaped(raw[span["start"] : span["end"]])
+                    state[2] += code_points(plain)
+                    state[3].update(plain)
+                for role, said in read_back(raw):
                     state[0] += 1
-                    state[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+                    for part in (role, b"\n", said, b"\n"):
+                        state[1].update(part)
             if rows:
                 yield out(rows)
         if state:
             yield out([row()])
 
     # formatted() leaves each conversation's pieces in order within a task
-    return pieces.select("conv_id", "piece", "formatted", "mask").mapInArrow(digest, DIGESTS)
+    return pieces.select("conv_id", "piece", F.col("formatted").cast("binary"), "mask").mapInArrow(digest, DIGESTS)
