@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tidelake.llm.common import partitions
+from tidelake.llm.common import partitions, written
 
 #: Code points of a k-mer, tuples of a signature, k-mers of a tuple.
 K, TUPLES, PER_TUPLE = 8, 32, 2  # K: a power of two
@@ -159,91 +160,86 @@ def edited(text: str, following: str) -> str:
 
 
 EDITS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def edit_likeness(docs: DataFrame, per_bucket: int = 4000) -> DataFrame:
+#: Rows of edit_likeness() between its two steps: a result, or (kind 1, 2) the first and the last text of a range.
+FOUND = EDITS + ", kind int, range int, text string"
+#: Rows that are compared at a time.
+ROWS = 250
+
+
+def compared(ids: list[int | None], texts: list[str], following: list[str]) -> list[pa.Array]:
+    """The columns EDITS of texts and the texts that follow them."""
+    changed = [edited(t, f) for t, f in zip(texts, following)]
+    # a row's next is mostly the next row: each text is hashed once
+    distinct = list(dict.fromkeys([*texts, *following]))
+    every = signatures(distinct)
+    place = {t: i for i, t in enumerate(distinct)}
+    a, b, e = every[[place[t] for t in texts]], every[[place[t] for t in following]], signatures(changed)
+    return [
+        pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed]),
+        pa.array(shown(a)), pa.array(shown(e)), pa.array(likeness(a, e)), pa.array(likeness(a, b)),
+    ]
+
+
+def edit_likeness(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """For each row of docs (doc_id, text, ...) its fingerprint's likeness to its edited text's and the next row's.
 
-    The next row is the next by doc_id (null first), then text; after the last comes the first. Rows are dealt to
-    ranges of doc_id with about `per_bucket` rows, and each range's first rows are also sent to the range before it,
-    so a task streams through its sorted ranges and always has the row that follows. Only doc_id is read to find the
-    ranges. Null text counts as empty. Repeated rows follow each other. One row alone follows itself. An empty table
-    gives an empty table.
+    The next row is the next by doc_id (null first), then by the text's hash; after the last comes the first. Null
+    text counts as empty. Repeated rows follow each other. One row alone follows itself. An empty table gives an empty
+    table. Other columns are not read.
+
+    Rows are range-sorted into `ranges` tasks (unless stated, as many as a shuffle has), which stream through them:
+    each holds a few rows. Rows with equal doc_ids are split by the text's hash and then by where they were read, so a
+    doc_id, or a text, that a third of all rows have is spread over many tasks. A range hands on two texts, its first
+    and its last, whose neighbours lie in other ranges; these are compared in a second step, two rows a range.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
-    n = ids.count()
-    wanted = max(1, n // per_bucket)
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.1 / wanted))) if wanted > 1 else []
-    cuts = [int(c) for c in cuts]
-    # range of a doc_id: how many cuts are at most it; found in an array of the cuts, one entry a range
-    value = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    bucket = F.when(F.lit(not cuts), 0).otherwise(bisect(value, cuts)) if cuts else F.lit(0)
-    bucket = bucket.cast("int")
-    firsts = {r["bucket"]: r["first"] for r in ids.select(bucket.alias("bucket"), value.alias("v")).groupBy("bucket").agg(F.min("v").alias("first")).collect()}  # one row a range
-    order = sorted(firsts)
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # the first range's rows also follow the last range's
-    # ranges and their firsts as one array, looked up by range number
-    size = (order[-1] + 1) if order else 0
-    first_of = F.array(*(F.lit(firsts.get(b)).cast("long") for b in range(size))) if size <= 64 else None
-    keyed = rows.withColumn("bucket", bucket)
-    if first_of is None:
-        table = spark.createDataFrame([(b, firsts[b], before[b]) for b in order], "bucket int, first long, before int")
-        keyed = keyed.join(F.broadcast(table), "bucket")  # one row a range, not a row
-    elif size:
-        keyed = keyed.withColumn("first", F.element_at(first_of, F.col("bucket") + 1)).withColumn("before", F.element_at(F.array(*(F.lit(before.get(b)).cast("int") for b in range(size))), F.col("bucket") + 1))
-    else:
-        return spark.createDataFrame([], EDITS)
-    guest = F.struct(F.col("before").alias("to"), F.lit(1).alias("guest"))
-    own = F.struct(F.col("bucket").alias("to"), F.lit(0).alias("guest"))
-    sent = keyed.withColumn("at", F.explode(F.when(F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first"), F.array(own, guest)).otherwise(F.array(own))))
-    sent = sent.select(F.col("at.to").alias("to"), F.col("at.guest").alias("guest"), "doc_id", "text")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # rows whose following row is still to come: (to, guest, doc_id, text)
-
-        def done(rows: list[tuple], following: list[str]) -> pa.RecordBatch:
-            texts = [r[3] for r in rows]
-            changed = [edited(t, f) for t, f in zip(texts, following)]
-            # a row's next is mostly the next row: each text is hashed once
-            distinct = list(dict.fromkeys([*texts, *following]))
-            all_sigs = signatures(distinct)
-            place = {t: i for i, t in enumerate(distinct)}
-            a, b = all_sigs[[place[t] for t in texts]], all_sigs[[place[t] for t in following]]
-            e = signatures(changed)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[2] for r in rows], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed]),
-                 pa.array(shown(a)), pa.array(shown(e)), pa.array(likeness(a, e)), pa.array(likeness(a, b))],
-                [c.split()[0] for c in EDITS.split(", ")],
-            )
-
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), "h", "row"]
+    placed = rows.repartitionByRange(ranges or partitions(spark), *order).sortWithinPartitions(*order)
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId()
+        empty = pa.array([], pa.int64())
+
+        def out(ids: list, texts: list[str], following: list[str], ends: list[tuple]) -> pa.RecordBatch:
+            found = compared(ids, texts, following) if ids else [empty] * 7
+            n = len(ids) + len(ends)
+            kinds = [TYPES[x.split()[1]] for x in EDITS.split(", ")]
+            some = [pa.concat_arrays([c.cast(k), pa.nulls(len(ends), k)]) for c, k in zip(found, kinds)]
+            some[0] = pa.concat_arrays([some[0].slice(0, len(ids)), pa.array([e[1] for e in ends], pa.int64())])
+            rest = [pa.array([0] * len(ids) + [e[0] for e in ends], pa.int32()), pa.array([at] * n, pa.int32()), pa.array([None] * len(ids) + [e[2] for e in ends], pa.string())]
+            return pa.RecordBatch.from_arrays([*some, *rest], names)
+
+        last: tuple | None = None  # the row whose following row is still to come
         for batch in batches:
-            for i in range(0, batch.num_rows, 250):
-                part = batch.slice(i, 250)
-                held += zip(*(part.column(c).to_pylist() for c in range(4)))
-                ready, following = [], []
-                for x, y in zip(held, held[1:]):
-                    if not x[1]:
-                        ready.append(x)
-                        following.append(y[3])  # of its own range or, after its last row, the first guest
-                held = held[-1:]
-                if ready:
-                    yield done(ready, following)
-        if held and not held[0][1]:
-            yield done(held, [held[0][3]])
-
-    spread = sent.repartition(partitions(spark), "to").sortWithinPartitions("to", "guest", F.col("doc_id").asc_nulls_first(), "text")
-    return spread.select("to", "guest", "doc_id", "text").mapInArrow(compare, EDITS)
-
-
-def bisect(value, cuts: list[int]):
-    """How many of the sorted cuts are at most value, as a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value >= F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(cuts))
+            for i in range(0, batch.num_rows, ROWS):
+                ids, texts = (batch.column(c).slice(i, ROWS).to_pylist() for c in range(2))
+                first = [(1, ids[0], texts[0])] if last is None else []
+                if last is not None:
+                    ids, texts = [last[0], *ids], [last[1], *texts]
+                last = ids[-1], texts[-1]
+                if first or len(ids) > 1:
+                    yield out(ids[:-1], texts[:-1], texts[1:], first)
+        if last is not None:
+            yield out([], [], [], [(2, *last)])
+
+    found = written(placed.select("doc_id", "text").mapInArrow(within, FOUND))
+    # one number a range: the next range that has rows; after the last comes the first
+    used = found.filter("kind = 1").select("range")
+    after = used.select("range", F.coalesce(F.lead("range").over(W.orderBy("range")), F.min("range").over(W.partitionBy())).alias("after"))
+    firsts = found.filter("kind = 1").select(F.col("range").alias("after"), F.col("text").alias("following"))
+    ends = found.filter("kind = 2").select("range", "doc_id", "text").join(after, "range").join(firsts, "after").select("doc_id", "text", "following")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                yield pa.RecordBatch.from_arrays(compared(*(batch.column(c).slice(i, ROWS).to_pylist() for c in range(3))), names[:7])
+
+    return found.filter("kind = 0").select(*names[:7]).unionByName(ends.mapInArrow(across, EDITS))
+
+
+#: Arrow's types of the names that FOUND uses.
+TYPES = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
