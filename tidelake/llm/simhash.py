@@ -20,10 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import components, discard, fresh, partitions, written
+from tidelake.llm.common import components, fresh, partitions, settled, written
 
 #: Members of a bucket that are compared in one piece; larger buckets are compared in pairs of blocks.
 BLOCK = 4096
+#: Parts of the keys that are counted before single keys are.
+CELLS = 1 << 20
+#: Distinct fingerprints from which on longer keys are cheaper than the pairs that shorter ones bring together.
+MANY = 1 << 31
 #: Documents of a group whose shingle sets are compared in one piece.
 SET_BLOCK = 128
 SEED = 42
@@ -107,12 +111,13 @@ def near_codewords() -> tuple[np.ndarray, np.ndarray]:
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 
 
-def exact_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def exact_keys(prints: np.ndarray, three: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(key, position) such that fingerprints at most 4 bits apart share a key.
 
     With the errors of the three segments adding up to 4 at most, either a segment has none and one of the two others
-    has at most 2: keys of one exact segment and one decoded segment. Or all have at least one, so the first two have
-    at most 2 each: keys of these two decoded.
+    has at most 2: keys of one exact segment and one decoded segment, 33 or 34 bits. Or all have at least one, so all
+    have at most 2: keys of the first two decoded, 24 bits, or, where three is set, of all three, 36 bits. The latter
+    are about 150 keys a fingerprint instead of 28 and meet by chance 4,096 times as seldom.
     """
     filled, lists = near_codewords()
     seg = [(prints >> np.uint64(lo)) & np.uint64((1 << n) - 1) for lo, n in SEGMENTS]
@@ -124,9 +129,13 @@ def exact_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             have = n > c
             keys.append((np.uint64(kind) << np.uint64(60) | seg[i] << np.uint64(12) | ids[:, c])[have])
             rows.append(at[have])
-    for c, d in itertools.product(range(6), repeat=2):
-        have = (near[0][0] > c) & (near[1][0] > d)
-        keys.append((near[0][1][:, c] << np.uint64(12) | near[1][1][:, d])[have])
+    decoded = range(3 if three else 2)
+    for choice in itertools.product(range(6), repeat=len(decoded)):
+        have = np.logical_and.reduce([near[i][0] > c for i, c in zip(decoded, choice)])
+        key = np.zeros(int(have.sum()), np.uint64)
+        for i, c in zip(decoded, choice):
+            key = key << np.uint64(12) | near[i][1][have, c]
+        keys.append(key)
         rows.append(at[have])
     return np.concatenate(keys).view(np.int64), np.concatenate(rows)
 
@@ -257,22 +266,33 @@ def words_of(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return data[first : first + len(arr) * width * 8].view(np.uint64).reshape(-1, width)
 
 
+def hot_keys(keyed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, blocks) of the keys that more than `block` rows hold.
+
+    Cells, each a part of the keys by their hash, are counted first, which pre-aggregates well; only keys in cells with
+    more than `block` rows are then counted themselves. However full the cells are, the keys found are the same.
+    """
+    cell = F.pmod(F.hash("key"), F.lit(CELLS))
+    full = written(keyed.select(cell.alias("cell")).groupBy("cell").count().filter(F.col("count") > block).select("cell"))
+    if full.isEmpty():
+        return keyed.sparkSession.createDataFrame([], "key long, blocks int")
+    some = keyed.select("key", cell.alias("cell")).join(F.broadcast(full), "cell", "left_semi")  # at most CELLS rows
+    return written(some.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+
+
 def bucket_links(keyed: DataFrame, most: int, width: int, block: int = BLOCK) -> DataFrame:
     """(a, b) links of keyed (key, node, print) that join what shared keys and at most `most` differing bits join.
 
-    Buckets are sorted runs within a task. Keys are counted by cells (a part of their hash), pre-aggregated; where a
-    cell holds more than `block` rows, its nodes are dealt to blocks by their hash and each two blocks meet in a task
-    of their own, so no task holds a large bucket and no pair is left out. The links of a task are a forest.
+    Buckets are sorted runs within a task. Where a key is held by more than `block` rows, its nodes are dealt to
+    blocks by their hash and each two blocks meet in a task of their own, so no task holds a large bucket and no pair
+    is left out; rows of other keys are never copied. The links of a task are a forest.
     """
     spark = keyed.sparkSession
-    cells = 1 << 20
-    cell = F.pmod(F.hash("key"), F.lit(cells))
-    counts = keyed.select(cell.alias("cell")).groupBy("cell").count().filter(F.col("count") > block)
-    hot = written(counts.select("cell", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    hot = hot_keys(keyed, block)
     n_hot = hot.count()
     if n_hot:
         side = F.broadcast(hot) if n_hot <= 100_000 else hot
-        met = keyed.withColumn("cell", cell).join(side, "cell", "left")
+        met = keyed.join(side, "key", "left")
         own = F.pmod(F.hash("node"), F.col("blocks"))
         each = F.when(F.col("blocks") > 1, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j).cast("long") * F.col("blocks") + F.greatest(own, j))).otherwise(F.array(F.lit(0).cast("long")))
         met = met.select("key", F.explode(each).alias("part"), "node", "print")
@@ -331,14 +351,23 @@ def simhash_components(docs: DataFrame, k: int = 4) -> DataFrame:
     not read.
     """
     prints = written(fingerprints(docs, k))
+    return prints.join(settled(lambda: _components_of(prints)), "print").select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _components_of(prints: DataFrame) -> DataFrame:
+    """(print, component_id) of each distinct fingerprint of prints (doc_id, print)."""
     # a group's node is its fingerprint; doc_ids come in at the end
     nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
 
+    three = nodes.count() >= MANY  # both kinds of keys find the same links
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column(0).to_numpy().view(np.uint64)
             for i in range(0, len(p), 2000):
-                key, row = exact_keys(p[i : i + 2000])
+                key, row = exact_keys(p[i : i + 2000], three)
                 node = p[i : i + 2000][row]
                 raw = pa.Array.from_buffers(pa.binary(), len(node), [None, pa.py_buffer(np.arange(0, 8 * len(node) + 1, 8, dtype=np.int32)), pa.py_buffer(node)])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node.view(np.int64)), raw], ["key", "node", "print"])
@@ -348,17 +377,18 @@ def simhash_components(docs: DataFrame, k: int = 4) -> DataFrame:
     of = nodes.join(joined, nodes["print"] == joined["node"], "left").select("print", "least", F.coalesce("component", "print").alias("component"))
     # a table of its own: joined to the plain aggregate, a large component's rows could not be split over tasks
     least = written(of.groupBy("component").agg(F.min("least").alias("component_id")))
-    labels = of.join(least, "component").select(F.col("print").alias("_print"), "component_id")
-    return prints.join(labels, prints["print"] == labels["_print"]).select(
-        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return of.join(least, "component").select("print", "component_id")
 
 
 # ---------------------------------------------------------------- the operator by similarity
 
 
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(row, node, group, doc_id, ...) of docs (row, doc_id, text): see near_kept()."""
+    """(row, node, group) of docs (row, doc_id, text): see near_kept() for links, nulls, empty texts and repeated rows.
+
+    node is the row that stands for all with the same set of shingles, group the smallest node that links reach. An
+    empty table gives an empty table.
+    """
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,9 +431,8 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Data
     bits = 64 * COMPARED
     most = int(bits * angle + 5 * (bits * angle * (1 - angle)) ** 0.5)
     keyed = nodes.select("node", "print", "sketch").mapInArrow(keys, "key long, node long, print binary")
-    near = components(written(bucket_links(keyed, most, COMPARED)))
-    near = written(near)
-    exact = components(written(set_links(docs, near, k, similarity)))
+    near = settled(lambda: components(written(bucket_links(keyed, most, COMPARED))))
+    exact = settled(lambda: components(written(set_links(docs, near, k, similarity))))
     of = nodes.join(exact, "node", "left").select("set_hash", "node", F.coalesce("component", "node").alias("group"))
     out = prints.select("row", "set_hash").join(of, "set_hash").select("row", "node", "group")
     return out
@@ -413,7 +442,8 @@ def set_links(docs: DataFrame, near: DataFrame, k: int, similarity: float) -> Da
     """(a, b) links of at least `similarity` between the shingle sets of near (node, component)'s documents.
 
     A component is dealt to blocks of about SET_BLOCK documents and each two blocks meet in one piece, which finds
-    the links by the shingles that they share; so a large component is spread over many tasks.
+    the links by the shingles that they share; so a large component is spread over many tasks. docs (row, doc_id,
+    text) may have null and empty texts, which are sets without shingles; no near, no links.
     """
     sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     sizes = written(sizes.withColumn("blocks", F.ceil(F.col("m") / SET_BLOCK).cast("int")).select("component", "blocks"))
@@ -477,11 +507,15 @@ def near_kept(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame
     share a key (soft_keys) and differ in few bits are near, and sets decide within what is near. A link can be
     missed only where all its keys differ: see soft_keys for how often.
     """
-    row, text_row, best = fresh(docs, "row", "near_row", "near_best")
+    row, text_row = fresh(docs, "row", "near_row")
     read = written(docs.withColumn(row, F.monotonically_increasing_id()))
     slim = read.select(F.col(row).alias("row"), "doc_id", "text")
-    groups = similar_groups(slim, k, similarity)
-    rank = F.struct(F.coalesce(F.char_length("text"), F.lit(0)).alias("n"), F.col("doc_id").isNotNull().alias("known"), (-F.coalesce("doc_id", F.lit(0))).alias("low"), (-F.col("row")).alias("first"))
-    ranked = groups.join(slim.select("row", rank.alias("rank")), "row")
-    stays = ranked.groupBy("group").agg((-F.max("rank")["first"]).alias(text_row)).select(text_row)
+    # bitwise not turns the order round and, unlike a minus, holds for every long
+    rank = F.struct(F.coalesce(F.char_length("text"), F.lit(0)).alias("n"), F.col("doc_id").isNotNull().alias("known"), F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).alias("low"), F.bitwise_not("row").alias("first"))
+
+    def staying() -> DataFrame:
+        ranked = similar_groups(slim, k, similarity).join(slim.select("row", rank.alias("rank")), "row")
+        return ranked.groupBy("group").agg(F.bitwise_not(F.max("rank")["first"]).alias(text_row)).select(text_row)
+
+    stays = settled(staying)
     return read.join(stays, read[row] == stays[text_row], "left_semi").select(*docs.columns)
