@@ -2,13 +2,18 @@
 
 import hashlib
 import itertools
+import math
 import random
+import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -50,7 +55,7 @@ def texts(df):
 def same(got, sql, tables):
     c = duckdb.connect()
     for name, df in tables.items():
-        c.register(name, df.toPandas())
+        c.register(name, df.toArrow())
     cur = c.execute(sql)
     names = [d[0] for d in cur.description]
     want = Counter(tuple(None if v != v else v for v in r) for r in cur.fetchall())
@@ -110,10 +115,47 @@ def test_quality_odd(spark, odd, none):
 
 def test_quality_fetches_one_row_a_label(spark, odd, monkeypatch):
     seen = []
-    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.append((texts, labels)))
+    monkeypatch.setattr(quality, "fit", lambda docs, labels: seen.append(([(b.tolist(), s.tolist()) for b, s in docs], labels)))
     rows = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(4, "a smaller text")] * 3, "doc_id long, text string"))
     quality.trained(rows, spark.createDataFrame([(4, 0, 0), (4, 1, 1), (5, 0, 0), (9, 0, 0)], LAB))  # 5 is held out
-    assert seen == [(["a smaller text", "tiny"], [1, 0])]
+    want = [tuple(x.tolist() for x in quality.document_features(t)) for t in ("a smaller text", "tiny")]
+    assert seen == [(want, [1, 0])]
+
+
+def slow_score(model, text):
+    """The score by the method's words: the average of all features' numbers, one feature after another."""
+    mask, found = (1 << 64) - 1, []
+    words = re.findall("[^\x20\x09-\x0d]+", text or "")
+    for w in words:
+        found.append((zlib.crc32(w.encode()) * 0x9E3779B97F4A7C15 & mask) >> 20)
+        for n in (3, 4):
+            for i in range(len(w) + 3 - n):
+                h = 0
+                for c in f"<{w}>"[i : i + n]:
+                    h = (h ^ ord(c)) * 0x100000001B3 + n & mask
+                found.append(((h ^ h >> 23) * 0xFF51AFD7ED558CCD & mask) >> 20)
+    found = [f % (quality.BUCKETS - 2) for f in found]
+    found += [quality.BUCKETS - 1] * 3 * sum(a == b for a, b in zip(words, words[1:])) + [quality.BUCKETS - 2] * 3 * sum(a == b for a, b in zip(words, words[2:]))
+    return 1 / (1 + math.exp(-model.bias - (sum(model.weight[f] for f in found) / len(found) if found else 0)))
+
+
+def test_quality_score_slowly(spark, docs, odd):
+    rng = np.random.default_rng(3)
+    model = quality.Model(rng.normal(0, 1, quality.BUCKETS), 0.25)
+    texts = [r["text"] for r in docs.collect()][:60] + [r["text"] for r in odd.collect() if not r["text"] or len(r["text"]) < 10_000] + ["ночь ночь улица", "日本 語 語 語", "é", "\U0001f600\U0001f600 x"]
+    assert np.allclose(quality.scorer(model)(texts), [slow_score(model, t) for t in texts], rtol=0, atol=1e-9)
+    for t in texts:  # what is fitted on is what is scored by
+        b, s = quality.document_features(t)
+        assert abs(1 / (1 + math.exp(-model.bias - float(model.weight[b] @ s.astype(float)))) - slow_score(model, t)) < 1e-5
+
+
+def test_quality_long_documents_are_learned_from(spark):
+    long = " ".join(f"w{i}" for i in range(9000))
+    rows = [(i, ("good " if i % 2 else "bad ") * 3 + long) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.trained(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(60)], LAB))
+    good, bad = quality.scorer(model)(["good good good", "bad bad bad"])
+    assert good > bad
 
 
 # ---------------------------------------------------------------- 2
@@ -189,7 +231,7 @@ def test_mixing_sql_and_nearness(spark, odd, none, docs, sf_dir):
     assert mixing.mix_plan(none).count() == 0
     big = spark.read.parquet(sf_dir.replace("0.001", "0.1") + "/documents.parquet")
     rows = mixing.mix_plan(big).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
-    assert max(abs(r["taken"] / r["target"] - 1) for r in rows) < 0.03
+    assert max(abs(r["taken"] / r["target"] - 1) for r in rows) < 0.001
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix_plan(docs).collect()}
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
@@ -197,6 +239,29 @@ def test_mixing_sql_and_nearness(spark, odd, none, docs, sf_dir):
     assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(none).count() == 0
 
 
+def test_mixing_draws_are_the_documents_own(spark, docs):
+    """A draw depends on its document alone: more documents turn only some of the largest ones' draws."""
+    plan = lambda df, n: {r["doc_id"]: r["copies"] for r in mixing.mix_plan(df, turned=n).collect()}
+    big = docs.select(F.explode(F.array(*(F.struct((F.col("doc_id") + i * 10_000_000).alias("doc_id"), "text", F.lit(s).alias("source")) for i, s in enumerate("abc")))).alias("d")).select("d.*")
+    for n in (0, 256):
+        rows = plan(big, n)
+        rate = {s: r["target"] / r["source_size"] for r in mixing.source_targets(big.select("source", mixing.words(F.col("text")).alias("size"))).collect() for s in [r["source"]]}
+        drawn = lambda d, s, t: int(hashlib.md5(hashlib.md5("|".join([hashlib.md5(f"v{s}".encode()).hexdigest(), f"v{d}", hashlib.md5(f"v{t}".encode() if t is not None else b"n").hexdigest()]).encode()).hexdigest().encode()).hexdigest()[:8], 16) / 2**32
+        want = {r["doc_id"]: int(rate[r["source"]]) + (drawn(r["doc_id"], r["source"], r["text"]) < rate[r["source"]] % 1) for r in big.collect()}
+        differ = sum(rows[d] != want[d] for d in want)
+        assert differ == 0 if not n else 0 < differ < 25, (n, differ, rate)
+    assert max(plan(big, 256).values()) <= 2
+
+
+def test_mixing_rows_that_are_alike(spark):
+    """A third of all rows are one row, without an id: they are drawn each for itself and the target is met."""
+    df = spark.createDataFrame([(None, "one text of five words", "en", "b", 1)] * 500 + [(i, "w " * (i % 60), "en", "ab"[i % 2], 1) for i in range(1000)], DOCS)
+    same(mixing.mix_plan(df), queries.OP3_SQL, {"documents": df.select("doc_id", "text", "source")})
+    got = mixing.mix_plan(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 40 for r in got)  # two thirds of the largest document
+    assert mixing.mix_plan(df).filter("doc_id is null").select("copies").distinct().count() == 2
+
+
 def test_mixed_draws_each_row_where_ids_repeat_or_are_null(spark, odd):
     rows = [(None if i % 3 == 0 else i, f"{s} {i} " + "word " * (i % 40), "en", s, 1) for s, n in (("a", 900), ("b", 300), ("c", 600)) for i in range(n)]
     for df in (spark.createDataFrame(rows, DOCS), odd):
@@ -206,7 +271,7 @@ def test_mixed_draws_each_row_where_ids_repeat_or_are_null(spark, odd):
     df = spark.createDataFrame(rows, DOCS)
     of = mixing.source_targets(df.select("source", mixing.words(F.col("text")).alias("size"))).select("source", "target").collect()
     taken = dict(map(tuple, mixing.mixed(df).groupBy("source").agg(F.sum(mixing.words(F.col("text")))).collect()))
-    assert all(abs(taken[s] / target - 1) < 0.03 for s, target in of)
+    assert all(abs(taken[s] / target - 1) < 0.001 for s, target in of)
 
 
 # ---------------------------------------------------------------- 4
@@ -225,6 +290,37 @@ def test_chat(spark):
     assert chat.digests(chat.formatted(spark.createDataFrame([], TURNS))).count() == 0
 
 
+def test_unescaping_by_pieces(monkeypatch):
+    rnd = random.Random(3)
+    for piece in (1, 2, 3, 5, 1 << 20):
+        monkeypatch.setattr(chat, "PIECE", piece)
+        for _ in range(400):
+            plain = "".join(rnd.choice(["\\", "\\", "a", "###", "</turn>", ": "]) for _ in range(rnd.randrange(14)))
+            text = chat.escaped(pa.array([plain]))[0].as_py().encode()
+            assert chat.unescaped(text) == plain.encode() and chat.code_points(f"{plain}é🙂".encode()) == len(plain) + 2
+
+
+def test_chat_memory_of_a_hostile_turn():
+    """A turn of 20 MB: what a process takes for assembling and reading it back, over what it has before."""
+    run = subprocess.run([sys.executable, "-c", """
+import resource, pyarrow as pa
+from tidelake.llm import chat
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for text in ("<" * 20_000_000, "</turn>" * 2_800_000, "\\\\" * 20_000_000):
+    before = peak()
+    out = chat.assemble(pa.array(["user"]), pa.array([text]))[0].tobytes()
+    assert list(chat.read_back(out)) == [(b"user", text.encode())]
+    print((peak() - before) // 1024)
+"""], capture_output=True, text=True, timeout=300)
+    assert max(map(int, run.stdout.split())) < 500 and len(run.stdout.split()) == 3, run.stderr
+
+
+def test_chat_pieces_out_of_order_fail(spark):
+    df = spark.createDataFrame([(1, 0, "### user: a</turn>\n", []), (1, 2, "### user: b</turn>\n", [])], chat.FORMATTED).coalesce(1)
+    with pytest.raises(Exception, match="does not follow"):
+        chat.digests(df).collect()
+
+
 def test_chat_long_conversation_is_pieces(spark, monkeypatch):
     rows = [(5, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(500)] + [(6, 0, "assistant", "z")]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
@@ -303,6 +399,10 @@ def test_exact_dedup(spark, docs, odd, none):
             same(got.drop("row"), queries.OP6_SQL, {"documents": df.select("doc_id", "text")})
     r = [x for x in exact_dedup.exact_groups(odd).collect() if x["doc_id"] is None]
     assert len(r) == 1 and r[0]["kept"] and exact_dedup.exact_groups(none).count() == 0
+    least = spark.createDataFrame([(-(1 << 63), "a b"), (5, "a b"), ((1 << 63) - 1, "a b")] * 40 + [(1, "other")], "doc_id long, text string")
+    for counters in (1, 1024):  # as a rare and as a frequent digest
+        assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(least, counters).collect()} == {(d, -(1 << 63), 120) for d in (-(1 << 63), 5, (1 << 63) - 1)} | {(1, 1, 1)}
+        assert sorted(r["doc_id"] for r in exact_dedup.distinct_texts(least, counters).collect()) == [-(1 << 63), 1]
     kept = exact_dedup.distinct_texts(odd)
     assert kept.columns == odd.columns and kept.count() == len({"".join((t or "").split()) for _, t, *_ in ODD})
 
@@ -320,8 +420,11 @@ def test_misra_gries():
 
 
 def test_edit_likeness(spark, docs, odd, none):
-    for df, size in ((docs, 20), (docs, 4000), (odd, 3), (docs.limit(1), 10)):
-        rows = sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    hashed = lambda t: int(np.array(xxhash.xxh64_intdigest(t.encode(), 42), np.uint64).view(np.int64)) if t is not None else 42
+    alike = spark.createDataFrame([(None, "the same text of all " * 3)] * 900 + [(7, f"text {i} " * 5) for i in range(900)], "doc_id long, text string")
+    for df, size in ((docs, 20), (docs, 1), (odd, 3), (docs.limit(1), 10), (alike, 16)):
+        rows = sorted(((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0, hashed(x[1])))
+        rows = [(d, t or "") for d, t in rows]
         want = Counter()
         for (d, t), (_, f) in zip(rows, rows[1:] + rows[:1]):
             n = len(t) // 4
@@ -334,19 +437,35 @@ def test_edit_likeness(spark, docs, odd, none):
 
 
 def brute_signature(text, k=8, tuples=32, each=2):
-    u = lambda *x: np.array(x, np.uint64)
-    pts = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    h, doc = order_minhash.kmer_hashes(pts, np.array([0]))
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    def kmer(points, factor):
+        if len(points) == 1:
+            return ord(points) + 1
+        half = len(points) // 2
+        return kmer(points[:half], factor - 1) * FACTORS[factor] + kmer(points[half:], factor - 1) & mask
+
+    FACTORS = [0, 0x9E3779B97F4A7C15]
+    for _ in range(2):
+        FACTORS.append(FACTORS[-1] ** 2 + 2 & mask)
+    if 0 < len(text) < k:
+        h = [int.from_bytes(hashlib.blake2b(text.encode("utf-32-le"), digest_size=8).digest(), "little")]
+    else:
+        h = [x ^ x >> 29 for i in range(len(text) - k + 1) for x in [kmer(text[i : i + k], 3)]]
     seen, bins = Counter(), defaultdict(list)
-    for i, x in enumerate(h.tolist()):
-        v = int(order_minhash.mix(u(x) + u(seen[x]) * np.uint64(0x9E3779B97F4A7C15))[0])
+    for i, x in enumerate(h):
+        v = mix(x + seen[x] * 0x9E3779B97F4A7C15 & mask)
         seen[x] += 1
         bins[v >> 59].append((v & (1 << 59) - 1, i))
     out = np.zeros(tuples, np.uint32)
     for b, found in bins.items():
         pick = sorted(i for _, i in sorted(found)[:each])
-        s = sum(int(order_minhash.mix(h[[i]] + u(j + 1) * np.uint64(0xD6E8FEB86659FD93))[0]) for j, i in enumerate(pick)) & (1 << 64) - 1
-        out[b] = max(1, int(order_minhash.mix(u(s))[0]) >> 32)
+        out[b] = max(1, mix(sum(mix(h[i] + (j + 1) * 0xD6E8FEB86659FD93 & mask) for j, i in enumerate(pick)) & mask) >> 32)
     return out
 
 
@@ -487,7 +606,8 @@ def test_simhash(spark, docs, odd, none):
     assert simhash.simhash_components(none).count() == 0
 
 
-def test_golay_keys_lose_no_link():
+@pytest.mark.parametrize("three", [False, True])
+def test_golay_keys_lose_no_link(three):
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
     b = a.copy()
@@ -497,7 +617,7 @@ def test_golay_keys_lose_no_link():
     keys = []
     for v in (a, b):
         of = defaultdict(set)
-        for k, r in zip(*simhash.exact_keys(v)):
+        for k, r in zip(*simhash.exact_keys(v, three)):
             of[int(r)].add(int(k))
         keys.append(of)
     assert all(keys[0][i] & keys[1][i] for i in range(3000))
@@ -505,6 +625,15 @@ def test_golay_keys_lose_no_link():
     assert min(np.bitwise_count(words[1:] ^ words[0])) == 7
 
 
+def test_only_hot_keys_are_copied(spark, monkeypatch):
+    """However many keys share a cell, rows of keys that few rows hold are not copied."""
+    keyed = spark.range(20_000).select((F.col("id") % 5000).alias("key"), F.col("id").alias("node"))
+    monkeypatch.setattr(simhash, "CELLS", 8)
+    assert simhash.hot_keys(keyed, 50).count() == 0
+    hot = keyed.unionByName(spark.range(120).select(F.lit(77).cast("long").alias("key"), (-F.col("id")).alias("node")))
+    assert [tuple(r) for r in simhash.hot_keys(hot, 50).collect()] == [(77, 3)]
+
+
 def test_hot_bucket_in_blocks(spark):
     rng = np.random.default_rng(1)
     v = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -564,5 +693,70 @@ def test_near_kept(spark, docs, odd, none):
     assert all(any(near(d, o) for o in sets if o != d) for d in gone)
     out = simhash.near_kept(odd)
     assert out.columns == odd.columns and simhash.near_kept(none).count() == 0
+    least = spark.createDataFrame([(-(1 << 63), "one two three four five six"), ((1 << 63) - 1, "one two three four five six"), (0, "one two three four five six")], "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.near_kept(least).collect()] == [-(1 << 63)]
     ids = Counter(r["doc_id"] for r in out.collect())
     assert ids[5] + ids[4] == 1 and ids[9] + ids[11] == 1 and ids[6] == ids[8] == 1 and sum(ids[i] for i in (1, 2, 3, 10, 12)) == 1
+
+
+# ---------------------------------------------------------------- pipeline
+
+
+def test_pipeline_stages_by_brute_force(spark, sf_dir, monkeypatch):
+    """Each stage on what the one before kept, against a plain recomputation; then run() as a whole."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # rows that share a doc_id, have none or no text go through all stages too
+    docs = docs.unionByName(docs.filter("doc_id % 9 = 0").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.filter("doc_id % 50 = 1").withColumn("text", F.lit(None).cast("string")))
+    docs = docs.withColumn("row", F.lit("a name that clashes"))
+    out, seen = docs, []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, out = out, common.written(stage(spark, out, sf_dir))
+        seen.append((before, out))
+        assert i == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns
+    row = lambda r: tuple(r.asDict().values())
+    # quality: all rows that the model accepts
+    before, kept = seen[0]
+    model = quality.trained(before, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert Counter(map(row, kept.collect())) == Counter(row(r) for r in before.collect() if slow_score(model, r["text"]) >= 0.7) and 0 < kept.count() < before.count()
+    # exact copies: one of each text, the longest
+    before, kept = seen[1]
+    plain = lambda t: "".join((t or "").split(" ")).translate({c: None for c in range(9, 14)})
+    longest = defaultdict(int)
+    for r in before.collect():
+        longest[plain(r["text"])] = max(longest[plain(r["text"])], len(r["text"] or ""))
+    assert Counter((plain(r["text"]), len(r["text"] or "")) for r in kept.collect()) == Counter(longest.items())
+    # near copies: one row of each group that links of brute force join
+    before, kept = seen[2]
+    rows = before.collect()
+    sets = []
+    for r in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "").split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    up = list(range(len(rows)))
+    for _ in up:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    best = {}
+    for g, r in zip(up, rows):
+        best[g] = max(best.get(g, (-1,)), (len(r["text"] or ""), r["doc_id"] is not None, -(r["doc_id"] or 0)))
+    assert Counter((len(r["text"] or ""), r["doc_id"] is not None, -(r["doc_id"] or 0)) for r in kept.collect()) == Counter(best.values())
+    # mixing: rows as they were, none more than twice, sources at their targets
+    before, kept = seen[3]
+    n, copies = Counter(map(row, before.collect())), Counter(map(row, kept.collect()))
+    assert copies.keys() <= n.keys() and all(copies[r] <= 2 * n[r] for r in copies)
+    targets = mixing.source_targets(before.select("source", mixing.words(F.col("text")).alias("size"))).collect()
+    taken = {r["source"]: r["n"] for r in kept.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()}
+    largest = {r["source"]: r["n"] for r in before.groupBy("source").agg(F.max(mixing.words(F.col("text"))).alias("n")).collect()}
+    assert all(abs(taken.get(r["source"], 0) - r["target"]) <= largest[r["source"]] * 2 / 3 for r in targets)  # sources of a dozen documents
+    # packing: each copy's ids once, gapless
+    before, pieces = seen[4]
+    check = [packing.byte_encoder(VOCABULARY)(r["text"] or "") for r in before.collect()]
+    assert pieces.agg(F.sum("length")).first()[0] == sum(len(c) + 1 for c in check)
+    assert all(r["used"] == r["top"] and r["used"] <= 1024 for r in pieces.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.max(F.col("offset") + F.col("length")).alias("top")).collect())
+    whole = lambda df: Counter(map(tuple, df.groupBy("doc_id", "start", "length", "ids_crc32").count().collect()))
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, name: docs if name == "documents" else s.read.parquet(f"{d}/{name}.parquet"))
+    ran = corpus_pipeline.run(spark, sf_dir)
+    assert ran.agg(F.sum("length")).first()[0] == sum(len(c) + 1 for c in check) and sum(whole(ran).values()) > 0
