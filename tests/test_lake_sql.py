@@ -32,6 +32,9 @@ def test_names(lake):
     assert run("WITH mem AS (SELECT 5 AS x) SELECT x, 'FROM ops.mem' FROM mem") == [(5, "FROM ops.mem")]
     assert run("SELECT count(*) FROM cpu WHERE v IN (SELECT v FROM ops.mem WHERE w > 40)") == [(3,)]
     assert run("SELECT count(*) FROM (SELECT * FROM cpu) x, ops.mem") == [(48 * 24,)]
+    assert run("WITH cpu AS (SELECT * FROM cpu WHERE v < 5) SELECT count(*), CAST(avg(v) + 0.6 AS INTEGER) FROM cpu") == [(5, 3)]
+    assert run("SELECT host, v FROM cpu QUALIFY row_number() OVER (PARTITION BY host ORDER BY time DESC) = 1 ORDER BY host") == [("h0", 45), ("h1", 46), ("h2", 47)]
+    assert run("SELECT count(*), sum(m.v) FROM cpu c ASOF JOIN ops.mem m ON c.host = m.host AND c.time > m.time") == [(45, 276 + 7 * 66)]
     with pytest.raises(LookupError):
         run("SELECT * FROM main.none")
 

@@ -1,86 +1,64 @@
-"""The documented dialect's spellings in Spark's, and results as clients take them."""
+"""SQL of the documented dialect, run, and results as clients take them."""
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelake.functions.time import MICROS, MONTHS
 from tidelake.operators.browse import egress
+from tidelake.plans.safety import listed
+from tidelake.plans.translate import WHOLE, translate
 
-LITERAL = re.compile(r"'(?:[^']|'')*'")
+__all__ = ["arrow_stream", "json_rows", "msgpack_columns", "query", "run", "translate"]
 
 
-def translate(sql: str) -> str:
-    """SQL of the documented subset as Spark's SQL; literals are left alone.
+def query(spark: SparkSession, text: str) -> DataFrame:
+    """Translated SQL as a DataFrame, in which casts to whole numbers round as the dialect does.
 
-    Integer division, ::casts, SEMI and ANTI JOIN, quantiles, byte length, time buckets, and NULLS LAST as the order
-    that ORDER BY has unless it says otherwise.
+    A cast's rounding depends on its argument's type, which only the analysed plan knows: such casts are found there,
+    with their places in the text, and the text is planned again with the rounding in it.
     """
-    held: list[str] = []
-
-    def hold(m: re.Match) -> str:
-        held.append(m[0])
-        return f"\x00{len(held) - 1}\x00"
-
-    text = re.sub(r"--[^\n]*", " ", LITERAL.sub(hold, sql))
-    text = re.sub(r"(\w+(?:\([^()]*\))?|\([^()]*\))\s*//\s*(\w+(?:\([^()]*\))?|\([^()]*\))", r"\1 div \2", text)
-    text = re.sub(r"::\s*(\w+)", lambda m: f"::{TYPES.get(m[1].upper(), m[1])}", text)
-    text = re.sub(r"(?<!LEFT )\b(SEMI|ANTI)\s+JOIN\b", r"LEFT \1 JOIN", text, flags=re.I)
-    text = re.sub(r"\bquantile_cont\s*\(", "percentile(", text, flags=re.I)
-    text = re.sub(r"\bquantile_disc\s*\(\s*([\w.]+)\s*,\s*([\d.]+)\s*\)", r"percentile_disc(\2) WITHIN GROUP (ORDER BY \1)", text, flags=re.I)
-    text = re.sub(r"\bstrlen\s*\(", "octet_length(", text, flags=re.I)
-    text = re.sub(r"\bstring_agg\s*\(", "listagg(", text, flags=re.I)
-    text = re.sub(r"\barg_(max|min)\s*\(", r"\1_by(", text, flags=re.I)
-    text = re.sub(r"\btime_bucket\s*\(\s*INTERVAL\s*(\x00\d+\x00|\d+\s+\w+)\s*,\s*([\w.]+)\s*\)", lambda m: bucket_sql(held[int(m[1].strip("\x00"))].strip("'") if "\x00" in m[1] else m[1], m[2]), text, flags=re.I)
-    text = ordered(text)
-    return re.sub(r"\x00(\d+)\x00", lambda m: held[int(m[1])], text)
-
-
-#: Names of types that the dialects spell differently.
-TYPES = {"VARCHAR": "STRING", "TEXT": "STRING", "INTEGER": "INT", "HUGEINT": "DECIMAL(38,0)", "REAL": "FLOAT"}
-
-
-def ordered(text: str) -> str:
-    """NULLS LAST for the keys of each ORDER BY that do not say otherwise."""
-    out, at = [], 0
-    for m in re.finditer(r"\bORDER\s+BY\s+", text, re.I):
-        if m.start() < at:
-            continue  # inside keys that were done
-        end, depth = m.end(), 0
-        while end < len(text):
-            if text[end] == ")" and not depth or not depth and re.match(r"\b(LIMIT|OFFSET|ROWS|RANGE)\b|;", text[end:], re.I):
-                break
-            depth += (text[end] == "(") - (text[end] == ")")
-            end += 1
-        out += [text[at : m.end()], nulls_last(ordered(text[m.end() : end]))]
-        at = end
-    return "".join(out) + text[at:]
-
-
-def nulls_last(keys: str) -> str:
-    depth, parts, at = 0, [], 0
-    for i, c in enumerate(keys):
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            parts.append(keys[at:i])
-            at = i + 1
-    parts.append(keys[at:])
-    return ", ".join(p.strip() if re.search(r"\bNULLS\s+(FIRST|LAST)\b", p, re.I) else f"{p.strip()} NULLS LAST" for p in parts) + " "
-
-
-def bucket_sql(width: str, column: str) -> str:
-    n, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]+?)s?\s*", width.lower()).groups()
-    if unit in MICROS:
-        origin, size = "timestamp_ntz\x002000-01-03 00:00:00\x00".replace("\x00", "'"), int(n) * MICROS[unit]
-        past = f"timestampdiff(MICROSECOND, {origin}, {column})"
-        return f"timestampadd(MICROSECOND, {past} - pmod({past}, {size}), {origin})"
-    months = int(n) * MONTHS[unit]
-    past = f"((year({column}) - 2000) * 12 + month({column}) - 1)"
-    return f"timestampadd(MONTH, {past} - pmod({past}, {months}), timestamp_ntz'2000-01-01 00:00:00')"
+    df = spark.sql(text)
+    places = to_round(spark, df, text)
+    for start, stop, function in sorted(places, reverse=True):
+        part = text[start : stop + 1]
+        begin, end = part.index("((") + 1, part.rindex(") AS ")
+        text = f"{text[:start]}{part[:begin]}{function}{part[begin : end + 1]}{part[end + 1 :]}{text[stop + 1 :]}"
+    return spark.sql(text) if places else df
+
+
+def to_round(spark: SparkSession, df: DataFrame, text: str) -> set[tuple[int, int, str]]:
+    """(first, last, function) of the casts of text in which fractions become whole numbers.
+
+    Doubles are rounded half to even, decimals half away from zero.
+    """
+    if not any(f") AS {kind})" in text for kind in WHOLE):
+        return set()
+    found = set()
+
+    def expression(e) -> None:
+        if e.getClass().getSimpleName() == "Cast" and e.dataType().sql() in WHOLE:
+            kind, origin = e.child().dataType().typeName(), e.origin()
+            function = "rint" if kind in ("double", "float") else "round" if kind.startswith("decimal") else ""
+            if function and origin.startIndex().isDefined():
+                start, stop = origin.startIndex().get(), origin.stopIndex().get()
+                if text[start : start + 6].lower() == "cast((" and text[: stop + 1].endswith(tuple(f") AS {w})" for w in WHOLE)):
+                    found.add((start, stop, function))
+        for c in listed(e.children()):
+            expression(c)
+        if e.getClass().getSimpleName() in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+            plan(e.plan())
+
+    def plan(p) -> None:
+        for e in listed(p.expressions()):
+            expression(e)
+        for c in [*listed(p.children()), *(listed(p.innerChildren()) if p.getClass().getSimpleName() == "WithCTE" else [])]:
+            plan(c)
+
+    plan(df._jdf.queryExecution().analyzed())
+    return found
 
 
 def run(spark: SparkSession, sql: str) -> DataFrame:
@@ -89,7 +67,7 @@ def run(spark: SparkSession, sql: str) -> DataFrame:
 
     text = translate(sql)
     validate(spark, text)
-    return egress(spark.sql(text))
+    return egress(query(spark, text))
 
 
 # ---------------------------------------------------------------- results
@@ -116,20 +94,119 @@ def plain(v):
     return v.asDict(True) if hasattr(v, "asDict") else str(v)
 
 
-def arrow_stream(df: DataFrame, compression: str | None = None) -> bytes:
-    """The result as an Arrow IPC stream."""
+def arrow_batches(df: DataFrame) -> Iterator:
+    """The result's Arrow batches, partition by partition, as they come; the driver holds one partition at a time."""
     import pyarrow as pa
 
-    table, sink = df.toArrow(), pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as w:
-        w.write_table(table)
-    return sink.getvalue().to_pybytes()
+    schema = df.limit(0).toArrow().schema
 
+    def packed(batches):
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as w:
+                w.write_batch(batch)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-def msgpack_columns(df: DataFrame) -> bytes:
-    """The result by columns in MessagePack: columns, types beside them, data, row_count."""
+    yield schema
+    for row in df.mapInArrow(packed, "part binary").toLocalIterator(prefetchPartitions=True):
+        for batch in pa.ipc.open_stream(bytes(row["part"])):
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema)], schema=schema)
+
+
+#: Distinct values of a column of text up to which it is sent as codes of a dictionary.
+DICTIONARY = 4096
+
+
+def arrow_pieces(df: DataFrame, compression: str | None = None, dictionary: bool = False) -> Iterator[bytes]:
+    """The result as an Arrow IPC stream in pieces, one or more a partition.
+
+    dictionary: columns of text are sent as codes; a piece brings the values that are new. A column whose values are
+    more than DICTIONARY after the first batch is sent plainly, so memory stays bounded.
+    """
+    import pyarrow as pa
+
+    batches = arrow_batches(df)
+    schema, sink = next(batches), _Pieces()
+    first = next(batches, None)
+    codes = []
+    if dictionary and first is not None:
+        codes = [i for i, f in enumerate(schema) if pa.types.is_string(f.type) and len(first.column(i).unique()) <= DICTIONARY]
+    kind = pa.dictionary(pa.int32(), pa.string())
+    sent = pa.schema([pa.field(f.name, kind) if i in codes else f for i, f in enumerate(schema)])
+    options = pa.ipc.IpcWriteOptions(compression=compression, emit_dictionary_deltas=False)
+    writer = pa.ipc.new_stream(pa.PythonFile(sink, "w"), sent, options=options)
+    while first is not None:
+        columns = [c.dictionary_encode().cast(kind) if i in codes else c for i, c in enumerate(first.columns)]
+        writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=sent))
+        yield sink.taken()
+        first = next(batches, None)
+    writer.close()
+    yield sink.taken()
+
+
+class _Pieces:
+    """A file to write to, from which what was written is taken."""
+
+    closed = False
+
+    def __init__(self) -> None:
+        self.held: list[bytes] = []
+
+    def write(self, data) -> int:
+        self.held.append(bytes(data))
+        return len(data)
+
+    def flush(self) -> None:
+        pass
+
+    def close(self) -> None:
+        self.closed = True
+
+    def taken(self) -> bytes:
+        out, self.held = b"".join(self.held), []
+        return out
+
+
+def arrow_stream(df: DataFrame, compression: str | None = None, dictionary: bool = False) -> bytes:
+    """arrow_pieces() as one value, for results that are small."""
+    return b"".join(arrow_pieces(df, compression, dictionary))
+
+
+def msgpack_pieces(df: DataFrame) -> Iterator[bytes]:
+    """The result in MessagePack: for each of Arrow's batches a map of columns, types, data by columns and row_count."""
     from tidelake.sources.records import pack
 
-    table = df.toArrow()
-    data = [[v if isinstance(v, str | int | float | bool | bytes | type(None)) else str(plain(v)) for v in c.to_pylist()] for c in table.columns]
-    return pack({"columns": table.column_names, "types": [str(t) for t in table.schema.types], "data": data, "row_count": table.num_rows})
+    batches = arrow_batches(df)
+    schema = next(batches)
+    for batch in batches:
+        data = [[v if isinstance(v, str | int | float | bool | bytes | type(None)) else str(plain(v)) for v in c.to_pylist()] for c in batch.columns]
+        yield pack({"columns": schema.names, "types": [str(t) for t in schema.types], "data": data, "row_count": batch.num_rows})
+
+
+def msgpack_columns(df: DataFrame) -> bytes:
+    """The result as one MessagePack document, for results that are small: columns, types beside them, data, row_count."""
+    from tidelake.sources.records import pack, unpack
+
+    schema = next(arrow_batches(df))
+    out = {"columns": schema.names, "types": [str(t) for t in schema.types], "data": [[] for _ in schema], "row_count": 0}
+    for piece in map(unpack, msgpack_pieces(df)):
+        out["row_count"] += piece["row_count"]
+        for column, values in zip(out["data"], piece["data"]):
+            column += values
+    return pack(out)
+
+
+def compressed(pieces: Iterator[bytes | str], encoding: str) -> Iterator[bytes]:
+    """A response's pieces, compressed as one body of `encoding` (gzip or zstd) as they come."""
+    import zlib
+
+    import zstandard
+
+    if encoding not in ("gzip", "zstd"):
+        raise ValueError(f"no encoding {encoding!r}")
+    z = zlib.compressobj(6, zlib.DEFLATED, 31) if encoding == "gzip" else zstandard.ZstdCompressor(level=3).compressobj()
+    for piece in pieces:
+        if out := z.compress(piece.encode() if isinstance(piece, str) else piece):
+            yield out
+    yield z.flush()

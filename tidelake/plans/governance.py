@@ -42,6 +42,16 @@ STATEMENTS = {
     "SET a = b": False,
     "SELECT * FROM parquet.`/etc/x`": False,
     "SELECT reflect(a, b) FROM cpu": False,
+    "SELECT `reflect`(a, b) FROM cpu": False,
+    "SELECT 1 AS `''`, reflect(a, b) FROM cpu": False,
+    "SELECT system.builtin.java_method(a, b) FROM cpu": False,
+    "SELECT my_own_function(a) FROM cpu": False,
+    "SELECT TRANSFORM(a) USING ''cat'' AS (b) FROM cpu": False,
+    "SELECT * FROM IDENTIFIER(''prod.secret'')": False,
+    "SELECT a FROM cpu WHERE b IN (SELECT input_file_name() FROM cpu)": False,
+    "SELECT * FROM python_worker_logs()": False,
+    "SELECT a, count(*) OVER (PARTITION BY b) FROM cpu, LATERAL explode(array(1)) AS e(x)": True,
+    "SELECT x.y FROM (SELECT max(a) AS y FROM cpu GROUP BY ROLLUP (b) HAVING count(*) > 1) x ORDER BY 1 LIMIT 3": True,
 }
 
 
@@ -54,19 +64,40 @@ def y1_statements(load, spark):
             return False
         return True
 
-    return spark.createDataFrame([(s, allowed(s)) for s in STATEMENTS], "statement string, allowed boolean")
+    return spark.createDataFrame([(s, allowed(s)) for s in (t.replace("''", "'") for t in STATEMENTS)], "statement string, allowed boolean")
 
 
-@query("SELECT * FROM (VALUES ('ops', 'disk'), ('default', 'log')) t(database, name)")
+#: Queries and the tables that they read and that the grants do not cover; a CTE's name holds only where SQL lets it.
+HIDDEN = {
+    "WITH t AS (SELECT * FROM prod.p_cpu) SELECT * FROM t JOIN mem_s m ON m.x IN (SELECT y FROM ops.disk) WHERE EXISTS (SELECT 1 FROM log)": "default.log ops.disk",
+    "WITH log AS (SELECT * FROM log) SELECT * FROM log": "default.log",
+    "SELECT * FROM secret WHERE EXISTS (WITH secret AS (SELECT 1 AS x) SELECT x FROM secret)": "default.secret",
+    "WITH a AS (SELECT * FROM b), b AS (SELECT * FROM a) SELECT * FROM b": "default.b",
+    "WITH RECURSIVE r AS (SELECT 1 AS x UNION ALL SELECT x + 1 FROM r WHERE x < 3) SELECT * FROM r": "",
+    "SELECT (SELECT max(v) FROM ops.disk d WHERE d.h = m.h), sum(CASE WHEN m.x IN (SELECT x FROM ops.net) THEN 1 END) FROM mem_s m GROUP BY 1": "ops.disk ops.net",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{t}')" for s, t in HIDDEN.items()) + ") t(statement, hidden)")
 def y2_permissions(load, spark):
-    text = "WITH t AS (SELECT * FROM prod.p_cpu) SELECT * FROM t JOIN mem_s m ON m.x IN (SELECT y FROM ops.disk) WHERE EXISTS (SELECT 1 FROM log)"
-    hidden = safety.allowed([("prod", "p_*"), ("def*", "*_s")], safety.tables(spark, text))
-    return spark.createDataFrame(hidden, "database string, name string")
+    grants = [("prod", "p_*"), ("def*", "*_s")]
+    found = [(text, " ".join(".".join(t) for t in safety.allowed(grants, safety.tables(spark, text)))) for text in HIDDEN]
+    return spark.createDataFrame(found, "statement string, hidden string")
+
+
+#: Texts and what a log keeps of them.
+LOGGED = {
+    "SELECT a1 FROM t WHERE x = 'it''s' AND y > 12.5": "SELECT a1 FROM t WHERE x = '?' AND y > ?",
+    'SELECT "secret" FROM t WHERE k = X\'0FF1\' AND z < 1e5 AND w = 0xCAFE': "SELECT \"?\" FROM t WHERE k = X'?' AND z < ? AND w = ?",
+    "SELECT `it's` FROM t -- 'a comment'": "SELECT `it's` FROM t  ",
+    "SELECT 1 /* 'x' */ + .5 FROM t2 WHERE a = 'open": "SELECT ?   + ? FROM t2 WHERE a = '?'",
+    "SELECT 'a\\' AND b = 'secret' FROM t": "SELECT '?'",
+}
 
 
-@query("SELECT 'SELECT a1 FROM t WHERE x = ''?'' AND y > ?' AS logged")
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{logged.replace(chr(39), chr(39) * 2)}')" for i, logged in enumerate(LOGGED.values())) + ") t(i, logged)")
 def y5_masked_literals(load, spark):
-    return spark.createDataFrame([(safety.masked("SELECT a1 FROM t WHERE x = 'it''s' AND y > 12.5"),)], "logged string")
+    return spark.createDataFrame([(i, safety.masked(text)) for i, text in enumerate(LOGGED)], "i int, logged string")
 
 
 @query("SELECT user_id, count(*) AS n, sum(event_id) AS ids FROM events GROUP BY user_id")

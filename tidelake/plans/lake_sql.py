@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from tidelake.catalog import Lake
 from tidelake.operators.browse import egress
 from tidelake.plans import safety
-from tidelake.plans.dialect import translate
+from tidelake.plans.dialect import query, translate
 
 Bounds = tuple[datetime | None, datetime | None]
 
@@ -24,7 +24,6 @@ def lake_sql(lake: Lake, sql: str, default: str = "main", grants: list[tuple[str
     by hour before the query is planned again. They only prune: the query's own conditions stay as they are.
     """
     text = translate(sql).strip().rstrip(";")
-    safety.validate(lake.spark, text)
     refs = [(start, stop, *named(parts, default)) for start, stop, parts in references(lake.spark, text)]
     tables = sorted({(db, name) for _, _, db, name in refs})
     if grants is not None and (hidden := safety.allowed(grants, tables)):
@@ -38,16 +37,8 @@ def named(parts: tuple[str, ...], default: str) -> tuple[str, str]:
 
 
 def references(spark, text: str) -> list[tuple[int, int, tuple[str, ...]]]:
-    """(first, last, name's parts) of each reference to a table that is no CTE: places in the text."""
-    found = set()
-    read = safety._relations(plan := safety.parsed(spark, text))
-    for p in safety.nodes(plan):
-        if p.nodeName() == "UnresolvedRelation":
-            seq, origin = p.multipartIdentifier(), p.origin()
-            parts = tuple(seq.apply(i) for i in range(seq.size()))
-            if parts in read:
-                found.add((origin.startIndex().get(), origin.stopIndex().get(), parts))
-    return sorted(found)
+    """(first, last, name's parts) of each reference to a table that is no CTE there: places in the text, which is checked."""
+    return sorted(safety.validated(spark, text).relations)
 
 
 def bound(lake: Lake, text: str, refs: list[tuple[int, int, str, str]], bounds: dict[tuple[str, str], Bounds]) -> DataFrame:
@@ -61,7 +52,7 @@ def bound(lake: Lake, text: str, refs: list[tuple[int, int, str, str]], bounds:
         # a reference without an alias is still called by its name
         rest = text[stop + 1 :]
         text = f"{text[:start]}(SELECT * FROM {views[db, name]}){'' if aliased(rest) else f' AS `{name}`'}{rest}"
-    out = lake.spark.sql(text)
+    out = query(lake.spark, text)
     for view in views.values():
         lake.spark.catalog.dropTempView(view)
     return out
