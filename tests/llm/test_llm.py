@@ -1,5 +1,6 @@
 """Each operator against brute force, round trips or held-out labels, and on odd rows."""
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -189,18 +190,71 @@ def test_warc_foreign_and_broken(spark, tmp_path):
     rec = lambda i, p: warc.MAGIC + f"WARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {len(p)}\r\n\r\n".encode() + p + b"\r\n\r\n"
     payloads = [b"a", warc.MAGIC, rec(99, b"inside"), b"\xff\x00\r\n\r\n"] * 20
     whole = b"".join(rec(i, p) for i, p in enumerate(payloads))
-    starts, follows, heads = warc.candidates(whole)
-    assert len(starts) > len(payloads)
     (tmp_path / "w").mkdir()
     (tmp_path / "w/a.warc").write_bytes(whole)
-    assert [bytes(r["payload"]) for r in warc.read_archives(spark, str(tmp_path / "w")).orderBy("page_id").collect()] == payloads
-    (tmp_path / "b").mkdir()
-    (tmp_path / "b/a.warc").write_bytes(whole[:-10])
-    with pytest.raises(Exception, match="chain"):
-        warc.read_archives(spark, str(tmp_path / "b")).collect()
+    assert warc.candidates(spark, str(tmp_path / "w")).count() > len(payloads) + 1
+    read = lambda folder, **k: sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["payload"] and bytes(r["payload"])) for r in warc.read_archives(spark, str(tmp_path / folder), **k).collect())
+    want = [(i, len(x), hashlib.sha256(x).hexdigest(), x) for i, x in enumerate(payloads)]
+    assert read("w") == want and read("w", with_payload=False) == [(*x[:3], None) for x in want]
+    # members one after another, as archives are compressed
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z/a.warc.gz").write_bytes(b"".join(gzip.compress(rec(i, x)) for i, x in enumerate(payloads)))
+    assert read("z") == want
+    cut = rec(1, b"x" * 200)
+    for i, broken in enumerate([whole[:-10], b"x" + whole, whole + warc.MAGIC, b"no archive", cut + cut.replace(b"200", b"999999999999"), rec(1, warc.MAGIC + b"x").replace(b"Length: 11", b"Length: 9")]):
+        (tmp_path / f"b{i}").mkdir()
+        (tmp_path / f"b{i}/a.warc").write_bytes(broken)
+        with pytest.raises(Exception, match="chain"):
+            warc.read_archives(spark, str(tmp_path / f"b{i}")).collect()
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.warc").write_bytes(cut.replace(b"Content-Length", b"WARC-Payload-Digest: sha256:00ff\r\nContent-Length"))
+    with pytest.raises(Exception, match="digest"):
+        warc.read_archives(spark, str(tmp_path / "d")).collect()
     assert len(warc.reachable(np.array([], np.int64), np.array([], np.int64))) == 0
 
 
+def test_warc_over_many_ranges(spark, tmp_path):
+    """A file cut into ranges at any place: in headers, in magic strings, in payloads longer than a range."""
+    fake = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    texts = ["short", fake * 40, "x" * 5000, "WARC/1.0\r\n" * 300, "", fake + "y" * 1500 + fake, "é" * 700] * 6
+    pages = spark.createDataFrame([(i, f"http://u/{i}", t + str(i // 3)) for i, t in enumerate(texts)], PAGES)
+    warc.write_archives(pages.coalesce(2), str(tmp_path / "w"))
+    for size in ("700", "4096"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            assert warc.segments(spark, str(tmp_path / "w")).select("file", "block").distinct().count() > 10
+            for with_payload in (True, False):
+                got = warc.read_archives(spark, str(tmp_path / "w"), with_payload)
+                same(got, queries.OP2_SQL, {"pages": pages})
+            assert got.count() == len(texts)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_warc_hostile_page(spark, tmp_path):
+    """A page of nothing but magic strings costs a short row each, not the rest of the page each."""
+    pages = spark.createDataFrame([(1, "u", "WARC/1.0\r\n" * 100_000), (2, "u", "plain")], PAGES)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    cand = common.written(warc.candidates(spark, str(tmp_path / "w")))
+    assert cand.count() > 100_000 and cand.agg(F.max(F.length(F.concat_ws("", "kind", "id", "refers", "stated", "url")))).first()[0] < 100
+    same(warc.read_archives(spark, str(tmp_path / "w")), queries.OP2_SQL, {"pages": pages})
+
+
+def test_leaving():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        sizes = rng.integers(1, 9, rng.integers(1, 30))
+        place, total = np.cumsum(sizes) - sizes, int(sizes.sum())
+        follow = np.where(rng.random(len(place)) < 0.9, place + rng.integers(1, 20, len(place)), -1)
+        after = dict(zip(place.tolist(), follow.tolist()))
+        for p, got in zip(place.tolist(), warc.leaving(place, follow, total).tolist()):
+            while p in after and 0 <= p < total:
+                p = after[p]
+            assert got == (p if p >= total else -1)
+
+
 def test_warc_no_pages(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], PAGES), str(tmp_path / "w"))
     assert warc.read_archives(spark, str(tmp_path / "w")).count() == 0
