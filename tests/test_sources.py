@@ -122,3 +122,68 @@ def test_parquet_import(spark, tmp_path):
     spark.sql("select 1 t, array(1) a").write.mode("overwrite").parquet(p)
     with pytest.raises(ValueError):
         imports.import_parquet(spark, p, "t")
+
+
+def test_compressed_bodies():
+    import gzip
+
+    import zstandard
+
+    data = b'[{"m":"a","t":1,"fields":{"v":1}}]' * 3
+    z = zstandard.ZstdCompressor().compress
+    for body in (data, gzip.compress(data), z(data), gzip.compress(data[:10]) + gzip.compress(data[10:]), z(data[:9]) + z(data[9:])):
+        assert records.plain_body(body) == data
+    for bad in (gzip.compress(data)[:-9], b"\x1f\x8bnonsense", z(b"x" * 5000), gzip.compress(b"x" * 5000)):
+        with pytest.raises(ValueError):
+            records.plain_body(bad, 4000)
+
+
+def test_live_agents(spark):
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from tidelake.sources.live import live_rows
+
+    class Agent(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            if self.path == "/late":
+                time.sleep(2)
+            body = records.pack({"batch": [{"m": "cpu", "t": 1700000000, "h": self.path, "fields": {"v": 1.5}}]}) if self.path == "/a" else b'[{"m":"cpu","t":1700000000,"h":"b","fields":{"v":2}},{"m":"mem","fields":{"x":1}}]' if self.path == "/b" else b"no records"
+            self.send_response(500 if self.path == "/broken" else 200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Agent)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        got = live_rows(spark, [f"{base}/a", f"{base}/b", f"{base}/late", f"{base}/broken", f"{base}/nonsense", "http://127.0.0.1:9/gone"], "cpu", timeout=1).collect()
+    finally:
+        server.shutdown()
+    assert sorted((r["host"], r["v"]) for r in got) == [("/a", 1.5), ("b", 2.0)]
+
+
+def test_agent_parquet_body(spark, tmp_path):
+    import io
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidelake.catalog import Lake
+
+    sink = io.BytesIO()
+    pq.write_table(pa.table({"time": [1700000000, 1700000001, None], "v": pa.array([1, 2, 3], pa.int16()), "host": ["a", "b", "c"]}), sink)
+    lake = Lake(spark, str(tmp_path))
+    assert imports.ingest_parquet(lake, sink.getvalue(), "db", "cpu", ["host"]) == 2
+    assert sorted((r["time"].year, r["v"], r["host"]) for r in lake.read("db", "cpu").collect()) == [(2023, 1, "a"), (2023, 2, "b")]
+
+
+def test_csv_preambles_of_each_file(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text(f"note\nother, note\n\ufefftime;a b;s\n2024-01-0{i + 1};{i};\"x;y\"\n\n2024-01-0{i + 1} 05:00:00;7;z\n" if not i else f"note\nother, note\ntime;a b;s\n2024-01-0{i + 1};{i};\"x;y\"\n")
+    got = imports.import_csv(spark, str(tmp_path), delimiter=";", skip_rows=2)
+    assert got.columns == ["time", "a b", "s"] and sorted((r["time"].day, r["a b"], r["s"]) for r in got.collect()) == [(1, 0, "x;y"), (1, 7, "z"), (2, 1, "x;y"), (3, 2, "x;y")]

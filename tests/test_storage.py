@@ -97,8 +97,9 @@ def test_retention_takes_whole_files(lake, rows):
 
 def test_delete_keeps_unknown(lake, rows):
     lake.write(rows.withColumn("v", F.when(F.col("n") != 2, F.col("v"))), "db", "cpu")
-    with pytest.raises(ValueError):
-        maintenance.delete_where(lake, "db", "cpu", "1 = 1")
+    for always in ("1 = 1", "2=2", "true", "not false", "host = host", "v < 3 or 1 < 2", "v in (v)", "5 between 1 and 9"):
+        with pytest.raises(ValueError, match="all rows"):
+            maintenance.delete_where(lake, "db", "cpu", always)
     with pytest.raises(ValueError):
         maintenance.delete_where(lake, "db", "cpu", "v >= 0", most=3)
     assert maintenance.delete_where(lake, "db", "cpu", "v < 60", dry_run=True)["rows"] == sum(r[2] < 60 for r in ROWS)
@@ -165,7 +166,7 @@ def test_upkeep_reads_only_the_files_it_rewrites(lake, rows, monkeypatch):
     lake.write(rows, "db", "cpu", ["host"])
     lake.write(rows.filter("n < 2"), "db", "cpu", ["host"])
     seen = []
-    monkeypatch.setattr(Lake, "_scan", lambda self, path, files=None, f=Lake._scan: seen.append(files and len(files)) or f(self, path, files))
+    monkeypatch.setattr(Lake, "_scan", lambda self, path, files=None, f=Lake._scan, **bounds: seen.append(files and len(files)) or f(self, path, files, **bounds))
     assert maintenance.compact(lake, "db", "cpu", least=2, at_once=1)["files_before"] == 4 and seen == [2, 2]
     seen.clear()
     assert maintenance.delete_where(lake, "db", "cpu", "v < 60") == {"rows": 9, "files": 1} and seen[-1] == 1
@@ -196,3 +197,75 @@ def test_text_files(spark, tmp_path):
     assert paths.read_text(spark, p) is None
     paths.write_text(spark, p, "é")
     assert paths.read_text(spark, p) == "é" and paths.children(spark, str(tmp_path / "a"))[0][0] in ("b.json", ".b.json.crc")
+
+
+def test_a_batch_that_is_written_again_takes_its_own_place(lake, rows):
+    lake.write(rows, "db", "cpu", ["host"])
+    for part in (rows.filter("n < 2"), rows.filter("n < 2"), rows.filter("n = 3")):
+        lake.write(part, "db", "cpu", ["host"], batch="stream/1-7" if part.first()["n"] < 2 else "stream/1-8")
+    assert lake.read("db", "cpu").count() == len(ROWS) + sum(r[3] < 2 or r[3] == 3 for r in ROWS)
+    assert not [n for n, _, _ in paths.children(lake.spark, lake.path("db", "cpu")) if n.startswith("_batch")]
+
+
+def test_properties_of_writers_at_once_are_united(lake, rows):
+    threads = [threading.Thread(target=lake.set_properties, args=("db", "cpu"), kwargs={"tags": [f"t{i}"]}) for i in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert lake.properties("db", "cpu")["tags"] == [f"t{i}" for i in range(8)]
+
+
+def test_mixed_types_open_the_pruned_hours_only(lake, spark, rows, monkeypatch):
+    from tidelake import catalog
+    from tidelake.plans.lake_sql import lake_sql
+
+    lake.write(rows, "db", "m", ["host"])
+    lake.write(rows.withColumn("v", F.concat(F.lit("s"), "v")), "db", "m")
+    seen = []
+    monkeypatch.setattr(catalog, "file_schema", lambda s, f, g=catalog.file_schema: seen.append(f) or g(s, f))
+    assert lake.read("db", "m", "2024-01-01 01:00:00", "2024-01-01 02:00:00").count() == 18 and len(seen) == 2 and "hr=01" in seen[0]
+    seen.clear()
+    got = lake_sql(lake, "SELECT count(*) AS n, count(CASE WHEN v LIKE 's%' THEN 1 END) AS s FROM db.m WHERE time >= TIMESTAMP '2024-01-01 03:00:00'")
+    assert tuple(got.first()) == (18, 9) and len(seen) == 2
+    assert lake.read("db", "m", "2025-01-01").count() == 0
+    hot = Lake(spark, lake.root)
+    maintenance.compact(hot, "db", "m", least=1)
+    seen.clear()
+    assert not hot.properties("db", "m")["mixed"] and hot.read("db", "m").count() == len(ROWS) and not seen  # the later write's rows stay
+
+
+def test_day_files(lake, rows):
+    lake.write(rows, "db", "cpu", ["host"], sort_keys=["host"])
+    assert maintenance.compact(lake, "db", "cpu", least=3, daily=True, older_than=datetime(2024, 1, 1, 23)) == {"folders": 0, "files_before": 0, "files_after": 0}
+    assert maintenance.compact(lake, "db", "cpu", least=3, daily=True) == {"folders": 4, "files_before": 4, "files_after": 1}
+    assert list(maintenance.by_folder(lake, lake.path("db", "cpu"))) == ["dt=2024-01-01/hr=day"]
+    for start, end in (("2024-01-01 01:30:00", "2024-01-01 03:00:00"), ("2023-12-31", "2024-01-01 00:10:00"), ("2024-01-01 03:50:00", "2024-01-02")):
+        assert lake.read("db", "cpu", start, end).count() == sum(datetime.fromisoformat(start) <= r[0] < datetime.fromisoformat(end) for r in ROWS)
+    assert lake.read("db", "cpu", "2024-01-02").count() == 0
+    one = lake.read("db", "cpu").collect()
+    assert [(r["host"], r["time"]) for r in one] == sorted((r["host"], r["time"]) for r in one)  # as sorted in the file
+    lake.write(rows.limit(5).withColumn("v", F.lit(0.5)), "db", "cpu")  # late rows, united by the next run
+    maintenance.compact(lake, "db", "cpu", least=2, daily=True)
+    assert lake.read("db", "cpu").count() == len(ROWS) and lake.read("db", "cpu").filter("v = 0.5").count() == 5
+    assert len(maintenance.migrate(lake, "db", "cpu", 1, datetime(2024, 1, 3, 2))) == 1
+
+
+def test_continuous_sql_is_checked(lake, rows):
+    lake.write(rows, "db", "cpu", ["host"])
+    span = "time >= {start_time} AND time < {end_time}"
+    for bad in (f"DROP TABLE cpu -- {span}", f"SELECT reflect('a', 'b') FROM db.cpu WHERE {span}", f"SELECT 1; SELECT 2 FROM db.cpu WHERE {span}", f"SELECT * FROM parquet.`/x` WHERE {span}"):
+        with pytest.raises(ValueError):
+            ContinuousQuery(lake, "db", "cpu", "x", bad)
+    cq = ContinuousQuery(lake, "db", "cpu", "named", f"SELECT host, max('db.cpu') AS said, count(*) AS c FROM cpu WHERE {span} GROUP BY host QUALIFY row_number() OVER (ORDER BY host) < 9", tags=("host",))
+    cq.run(datetime(2024, 1, 1), datetime(2024, 1, 1, 1))
+    assert {r["said"] for r in lake.read("db", "named").collect()} == {"db.cpu"} and lake.read("db", "named").agg(F.sum("c")).first()[0] == 9
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        sparkContext = type("C", (), {"master": "spark://h:7077"})()  # noqa: N815
+        conf = type("F", (), {"get": staticmethod(lambda k, d=None: d)})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        paths.scratch(Cluster(), "x")

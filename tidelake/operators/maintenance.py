@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 from urllib.parse import unquote
 
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidelake import paths
-from tidelake.catalog import COLD, DAY, HOT, HOUR, SEQUENCE, Lake
+from tidelake.catalog import COLD, DAY, HOT, HOUR, PARQUET, SEQUENCE, WHOLE_DAY, Lake
 
 #: Files of an hour from which it is compacted, and of a day; rows that one deletion may take.
 LEAST_FILES, LEAST_DAY_FILES, MOST_DELETED = 10, 12, 1_000_000
-#: Files that one job of compaction reads, about.
-FILES_AT_ONCE = 5_000
+#: Files that one job of compaction reads, about; bytes of a file that holds a whole day, about.
+FILES_AT_ONCE, DAY_BYTES = 5_000, 512 << 20
 
 
 def dedup(df: DataFrame, tags: list[str], dedup_time: bool = False, newest: str = SEQUENCE) -> DataFrame:
@@ -32,19 +33,21 @@ def dedup(df: DataFrame, tags: list[str], dedup_time: bool = False, newest: str
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def swap(lake: Lake, df: DataFrame, path: str, old: list[str], known: dict) -> None:
+def swap(lake: Lake, df: DataFrame, path: str, old: list[str], known: dict, parts: int | None = None) -> None:
     """Replaces the files `old` below path by df's rows: written aside first, then moved in, then the old ones go.
 
-    A failure in between leaves rows twice, never none.
+    A failure in between leaves rows twice, never none. Each swap has a folder of its own, so others may run beside it.
+    parts: the files that a folder's rows are dealt to by time; the measurement's files_per_hour by hash unless stated.
     """
     spark = lake.spark
-    aside = f"{path}/_swap"
-    paths.delete(spark, aside)
+    aside = f"{path}/_swap-{uuid.uuid4().hex}"
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartition(tasks, DAY, HOUR, F.pmod(F.hash("time"), F.lit(known["files_per_hour"])))
+    share = F.floor((F.hour("time") * 60 + F.minute("time")) * F.lit(parts) / 1440) if parts else F.pmod(F.hash("time"), F.lit(known["files_per_hour"]))
+    dealt = df.repartition(tasks, DAY, HOUR, share)
     keys = [k for k in known["sort_keys"] if k in df.columns and k != "time"]
-    dealt.sortWithinPartitions(DAY, HOUR, *keys, "time").write.partitionBy(DAY, HOUR).option("compression", "zstd").parquet(aside)
-    paths.each(lambda f: paths.move(spark, f, f"{path}/{f[f.index('/_swap/') + len('/_swap/') :]}"), [f for f, _, _ in paths.files(spark, aside)])
+    dealt.sortWithinPartitions(DAY, HOUR, *keys, "time").write.partitionBy(DAY, HOUR).options(**PARQUET).parquet(aside)
+    mark = f"/{aside.rsplit('/', 1)[1]}/"
+    paths.each(lambda f: paths.move(spark, f, f"{path}/{f[f.index(mark) + len(mark) :]}"), [f for f, _, _ in paths.files(spark, aside)])
     paths.each(lambda f: paths.delete(spark, f), old)
     paths.delete(spark, aside)
 
@@ -52,25 +55,34 @@ def swap(lake: Lake, df: DataFrame, path: str, old: list[str], known: dict) -> N
 def by_folder(lake: Lake, path: str) -> dict[str, list[str]]:
     found: dict[str, list[str]] = {}
     for f, _, _ in paths.files(lake.spark, path):
-        folder = "/".join(f.split("/")[-3:-1])
-        if folder.startswith(f"{DAY}="):
+        if (folder := folder_of(f)).startswith(f"{DAY}="):
             found.setdefault(folder, []).append(f)
     return found
 
 
+def folder_of(file: str) -> str:
+    """dt=.../hr=... of a file."""
+    return "/".join(file.split("/")[-3:-1])
+
+
 def folder_ends(folder: str) -> datetime:
-    """The end of the hour that a folder holds."""
+    """The end of the hour, or the day, that a folder holds."""
+    if folder.endswith(f"{HOUR}={WHOLE_DAY}"):
+        return datetime.strptime(folder.split("/")[0], f"{DAY}=%Y-%m-%d") + timedelta(days=1)
     return datetime.strptime(folder.replace(f"{DAY}=", "").replace(f"/{HOUR}=", " "), "%Y-%m-%d %H") + timedelta(hours=1)
 
 
 def compact(lake: Lake, db: str, name: str, least: int = LEAST_FILES, older_than: datetime | None = None, daily: bool = False, at_once: int = FILES_AT_ONCE) -> dict:
-    """Rewrites hours (daily: days) with at least `least` files: sorted, deduplicated by tags and time, few files.
+    """Rewrites hours with at least `least` files: sorted, deduplicated by tags and time, few files.
 
-    Only hours that end before older_than are taken, and only their files are read, about `at_once` in one job; an
-    hour is never split over two. Files that are no Parquet are left where they are; one that breaks later fails its
-    job before anything is deleted.
+    daily: rewrites days, whose hours' files become the day's own, in a folder beside the hours, one for about each
+    DAY_BYTES; hours that come later are united with them by the next run. Only hours (days) that end before
+    older_than are taken, and only their files are read, about `at_once` in one job; none is split over two. Files that
+    are no Parquet are left where they are; one that breaks later fails its job before anything is deleted. Where
+    writes differed in a column's type and all files have been rewritten alike, reads open single files no more.
     """
     spark, path, known = lake.spark, lake.path(db, name), lake.properties(db, name)
+    sizes = {f: n for f, n, _ in paths.files(spark, path)} if daily else {}
     folders = by_folder(lake, path)
     groups: dict[str, list[str]] = {}
     for folder in folders:
@@ -79,11 +91,14 @@ def compact(lake: Lake, db: str, name: str, least: int = LEAST_FILES, older_than
 
     def flush() -> None:
         if batch:
-            swap(lake, dedup(lake._scan(path, batch), known["tags"], known["dedup_time"]), path, batch, known)
+            rows = dedup(lake._scan(path, batch), known["tags"], known["dedup_time"])
+            days = len({f.split("/")[-3] for f in batch})
+            parts = max(1, round(sum(sizes[f] for f in batch) / days / DAY_BYTES)) if daily else None
+            swap(lake, rows.withColumn(HOUR, F.lit(WHOLE_DAY)) if daily else rows, path, batch, known, parts)
             batch.clear()
 
     for fs in groups.values():
-        if sum(len(folders[f]) for f in fs) < least or (older_than is not None and folder_ends(max(fs)) > older_than):
+        if sum(len(folders[f]) for f in fs) < least or (older_than is not None and max(map(folder_ends, fs)) > older_than):
             continue
         sound = paths.parquet_only(spark, [f for folder in fs for f in folders[folder]])
         if len(sound) < least:
@@ -95,8 +110,11 @@ def compact(lake: Lake, db: str, name: str, least: int = LEAST_FILES, older_than
             flush()
     flush()
     after = by_folder(lake, path)
+    now = {*chosen, *(f"{f.split('/')[0]}/{HOUR}={WHOLE_DAY}" for f in chosen if daily)}
     left = sum(len(folders[f]) for f in chosen) - before
-    return {"folders": len(chosen), "files_before": before, "files_after": sum(len(after[f]) for f in chosen) - left}
+    if known["mixed"] and not lake.cold and set(chosen) == set(folders) and not left:
+        lake.settle(db, name)
+    return {"folders": len(chosen), "files_before": before, "files_after": sum(len(after.get(f, [])) for f in now) - left}
 
 
 def retain(lake: Lake, db: str, name: str, days: float, now: datetime, buffer_days: float = 0, dry_run: bool = False) -> list[str]:
@@ -115,18 +133,34 @@ def retain(lake: Lake, db: str, name: str, days: float, now: datetime, buffer_da
     return sorted(gone)
 
 
-TRUE = ("1=1", "true", "1", "(1=1)", "(true)")
+def always(df: DataFrame, condition: str) -> bool:
+    """Whether the optimiser leaves nothing of a condition but that columns are known: it holds for all such rows."""
+    plan = df.filter(condition)._jdf.queryExecution().optimizedPlan()
+    todo, left = [plan], []
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "Filter":
+            left.append(p.condition())
+        children = p.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    while left:
+        e = left.pop()
+        kind = e.getClass().getSimpleName()
+        if kind == "And":
+            left += [e.left(), e.right()]
+        elif kind != "IsNotNull":
+            return False
+    return plan.nodeName() != "LocalRelation"  # nothing at all holds
 
 
 def delete_where(lake: Lake, db: str, name: str, condition: str, confirm: bool = False, dry_run: bool = False, most: int = MOST_DELETED) -> dict:
     """Deletes the rows for which the condition holds, in all tiers; rows for which it is unknown stay.
 
-    Only files with such rows are read again and rewritten. A condition that always holds needs confirm; more rows
-    than `most` are refused.
+    Only files with such rows are read again and rewritten. A condition that always holds, however it is written, needs
+    confirm; more rows than `most` are refused.
     """
     predicate = F.coalesce(F.expr(condition), F.lit(False))
-    always = "".join(condition.lower().split()) in TRUE
-    if always and not confirm:
+    if not confirm and always(lake.read(db, name, planned=True), condition):
         raise ValueError("the condition holds for all rows; confirm=True is needed")
     hit: dict[str, dict[str, int]] = {}
     for tier in lake.tiers():

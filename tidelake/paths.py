@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import contextlib
+import time
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder under the one that the cluster names in spark.checkpoint.dir (one of our own in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tidelake"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new folder under the one that the cluster names in spark.checkpoint.dir; it goes when the session's process ends.
+
+    Where none is named there is one of our own, for a session in one process only (tests): a folder of one machine is
+    none that a cluster shares.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    path = f"{(base or '/tmp/checkpoints/tidelake').rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    fs, p = _fs(spark, path)
+    fs.deleteOnExit(p.makeQualified(fs.getUri(), fs.getWorkingDirectory()))
+    return path
+
+
+def stored(df: DataFrame, what: str = "table") -> DataFrame:
+    """df as a Parquet table in the scratch folder: computed once, however often it is read."""
+    path = scratch(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def each(action: Callable, items: Iterable, threads: int = 32) -> None:
@@ -58,15 +76,17 @@ def children(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
 
 
 def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """(path, bytes, modified in ms) of all Parquet files below a folder."""
+    """(path, bytes, modified in ms) of all Parquet files below a folder that readers see: none in folders named _..."""
     fs, p = _fs(spark, path)
     out = []
     if fs.exists(p):
+        root = len(fs.makeQualified(p).toString())
         it = fs.listFiles(p, True)
         while it.hasNext():
             s = it.next()
-            if s.getPath().getName().endswith(".parquet"):
-                out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+            found = s.getPath().toString()
+            if found.endswith(".parquet") and "/_" not in found[root:]:
+                out.append((found, s.getLen(), s.getModificationTime()))
     return out
 
 
@@ -102,9 +122,37 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     fs, p = _fs(spark, path)
     stream = fs.create(p, True)
     try:
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(data))
     finally:
         stream.close()
+
+
+@contextlib.contextmanager
+def lock(spark: SparkSession, path: str, wait: float = 30.0, stale: float = 120.0):
+    """Holds the file path, which only one can make at a time; one that is older than `stale` seconds was left behind."""
+    fs, p = _fs(spark, path)
+    began = time.time()
+    while True:
+        try:
+            fs.create(p, False).close()
+            break
+        except Exception:
+            if not fs.exists(p):
+                if time.time() - began > wait:
+                    raise
+            elif time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > stale:
+                fs.delete(p, False)
+            elif time.time() - began > wait:
+                raise TimeoutError(f"{path} is held by another writer") from None
+            time.sleep(0.05)
+    try:
+        yield
+    finally:
+        fs.delete(p, False)

@@ -130,6 +130,40 @@ def k6_json_round_trip(load, spark):
     return spark.createDataFrame([tuple(r) for r in document["data"]], out.schema)
 
 
+@query("SELECT event_type, event_id, value FROM events")
+def k10_compressed_responses(load, spark):
+    """Results as JSON and as Arrow with dictionaries, in pieces and compressed as one body each, and read back."""
+    import gzip
+    import json
+
+    import pyarrow as pa
+    import zstandard
+
+    from tidelake.plans.dialect import arrow_pieces, compressed, json_rows
+
+    df = load("events").select("event_type", "event_id", "value")
+    document = json.loads(gzip.decompress(b"".join(compressed(json_rows(df), "gzip"))))
+    body = b"".join(compressed(arrow_pieces(df, dictionary=True), "zstd"))
+    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().stream_reader(body).read()).read_all()
+    if not pa.types.is_dictionary(table.schema.field("event_type").type) or sorted(map(tuple, document["data"]), key=repr) != sorted(zip(*(c.to_pylist() for c in table.columns)), key=repr):
+        raise AssertionError("the two forms of one result differ")
+    return spark.createDataFrame([tuple(r) for r in document["data"]], df.schema)
+
+
+@query("SELECT 'slow' AS kind, count(*) AS n FROM events UNION ALL SELECT 'all', 2")
+def i8_slow_queries(load, spark):
+    """Of two queries one is slower than the limit, which lies between them."""
+    import time
+
+    from tidelake.operators.registry import QueryRegistry
+
+    registry, df = QueryRegistry(spark, slow_seconds=3.0), load("events")
+    registry.run("SELECT 1", lambda: 1)
+    n = registry.run("SELECT count(*) FROM events", lambda: (time.sleep(3), df.count())[1])
+    slow = registry.slow()
+    return spark.createDataFrame([("slow", n if [r.text for r in slow] == ["SELECT count(*) FROM events"] else -1), ("all", len(registry.done))], "kind string, n long")
+
+
 SECONDS = [0, 10, 20, 30, 61, 65, 75, 100, 3599, 3605]
 
 

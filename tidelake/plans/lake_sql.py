@@ -8,28 +8,83 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 
+from tidelake import paths
 from tidelake.catalog import Lake
 from tidelake.operators.browse import egress
 from tidelake.plans import safety
 from tidelake.plans.dialect import query, translate
+from tidelake.plans.tokens import tokens
 
 Bounds = tuple[datetime | None, datetime | None]
 
 
+#: The database of the catalog's own tables.
+CATALOG = "information_schema"
+
+
 def lake_sql(lake: Lake, sql: str, default: str = "main", grants: list[tuple[str, str]] | None = None) -> DataFrame:
     """The result of one query over measurements `db.name`, or `name` in the default database; across databases too.
 
     Anything but a query is refused (safety.Refused), and so are tables that no grant covers, if grants are given.
     Conditions on a measurement's time, also relative to now, are taken from the optimised plan; they prune folders
     by hour before the query is planned again. They only prune: the query's own conditions stay as they are.
+
+    SHOW DATABASES, SHOW TABLES (or MEASUREMENTS) [FROM db] and DESCRIBE [db.]name are answered too, and so are the
+    tables schemata, tables and columns of information_schema; they show what the grants cover.
     """
+    if (shown := catalog_query(sql, default)) is not None:
+        sql = shown
     text = translate(sql).strip().rstrip(";")
     refs = [(start, stop, *named(parts, default)) for start, stop, parts in references(lake.spark, text)]
-    tables = sorted({(db, name) for _, _, db, name in refs})
+    tables = sorted({(db, name) for _, _, db, name in refs if db != CATALOG})
     if grants is not None and (hidden := safety.allowed(grants, tables)):
         raise safety.Refused(f"no access to {', '.join('.'.join(t) for t in hidden)}")
-    whole = bound(lake, text, refs, {})
-    return egress(bound(lake, text, refs, folder_bounds(whole, {t: [lake.path(*t, tier) for tier in lake.tiers()] for t in tables})))
+    whole = bound(lake, text, refs, {}, True, grants)
+    return egress(bound(lake, text, refs, folder_bounds(whole, {t: [lake.path(*t, tier) for tier in lake.tiers()] for t in tables}), False, grants))
+
+
+def catalog_query(sql: str, default: str) -> str | None:
+    """The query over the catalog's tables that a SHOW or DESCRIBE stands for; None for other SQL."""
+    words = tokens(sql.strip().rstrip(";"))
+    said = [t.text.upper() for t in words]
+    if said == ["SHOW", "DATABASES"]:
+        return "SELECT schema_name AS database FROM information_schema.schemata ORDER BY 1"
+    if said[:2] in (["SHOW", "TABLES"], ["SHOW", "MEASUREMENTS"]) and (len(said) == 2 or len(said) == 4 and said[2] == "FROM"):
+        db = words[3].text.strip('`"') if len(said) == 4 else default
+        where = literal_of(db)
+        return f"SELECT table_schema AS database, table_name, storage_path, file_count, round(total_bytes / 1048576, 2) AS total_size_mb FROM information_schema.tables WHERE table_schema = {where} ORDER BY 2"
+    if said[:1] in (["DESCRIBE"], ["DESC"]) and len(said) in (2, 4):
+        db, name = (words[1].text if len(said) == 4 else default).strip('`"'), words[-1].text.strip('`"')
+        return f"SELECT column_name, column_kind, data_type FROM information_schema.columns WHERE table_schema = {literal_of(db)} AND table_name = {literal_of(name)} ORDER BY ordinal_position"
+    return None
+
+
+def literal_of(name: str) -> str:
+    return "'" + name.replace("'", "''") + "'"
+
+
+def catalog_table(lake: Lake, name: str, grants: list[tuple[str, str]] | None) -> DataFrame:
+    """A table of the catalog, made from folders and properties; of what the grants cover, if given."""
+    seen = lambda db, m: grants is None or not safety.allowed(grants, [(db, m)])
+    held = [(db, m) for db in lake.databases() if not db.startswith("_") for m in lake.measurements(db) if seen(db, m)]
+    spark = lake.spark
+    if name == "schemata":
+        every = sorted({db for db, _ in held} | ({db for db in lake.databases() if not db.startswith("_")} if grants is None else set()))
+        return spark.createDataFrame([("lake", db) for db in every], "catalog_name string, schema_name string")
+    if name == "tables":
+        rows = []
+        for db, m in held:
+            found = [(t, f) for t in lake.tiers() if (f := paths.files(spark, lake.path(db, m, t)))]
+            rows.append(("lake", db, m, "BASE TABLE", lake.path(db, m), "+".join(t for t, _ in found), sum(len(f) for _, f in found), sum(x[1] for _, f in found for x in f)))
+        return spark.createDataFrame(rows, "table_catalog string, table_schema string, table_name string, table_type string, storage_path string, tier string, file_count long, total_bytes long")
+    if name == "columns":
+        rows = []
+        for db, m in held:
+            properties = lake.properties(db, m)
+            for i, (c, kind) in enumerate(properties["columns"].items(), 1):
+                rows.append((db, m, c, i, "time" if c == "time" else "tag" if c in properties["tags"] else "field", kind))
+        return spark.createDataFrame(rows, "table_schema string, table_name string, column_name string, ordinal_position int, column_kind string, data_type string")
+    raise LookupError(f"no table {CATALOG}.{name}")
 
 
 def named(parts: tuple[str, ...], default: str) -> tuple[str, str]:
@@ -41,13 +96,14 @@ def references(spark, text: str) -> list[tuple[int, int, tuple[str, ...]]]:
     return sorted(safety.validated(spark, text).relations)
 
 
-def bound(lake: Lake, text: str, refs: list[tuple[int, int, str, str]], bounds: dict[tuple[str, str], Bounds]) -> DataFrame:
-    """The query over views of the measurements, each read within its bounds."""
+def bound(lake: Lake, text: str, refs: list[tuple[int, int, str, str]], bounds: dict[tuple[str, str], Bounds], planned: bool = False, grants: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The query over views of the measurements, each read within its bounds; planned: to look at its plan only."""
     views = {}
     for _, _, db, name in refs:
         if (db, name) not in views:
             views[db, name] = view = f"lake_{uuid.uuid4().hex}"
-            lake.read(db, name, *bounds.get((db, name), (None, None))).createOrReplaceTempView(view)
+            rows = catalog_table(lake, name, grants) if db == CATALOG else lake.read(db, name, *bounds.get((db, name), (None, None)), planned=planned)
+            rows.createOrReplaceTempView(view)
     for start, stop, db, name in reversed(refs):
         # a reference without an alias is still called by its name
         rest = text[stop + 1 :]

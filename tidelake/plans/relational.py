@@ -17,6 +17,13 @@ sql("p4_in", "SELECT c_custkey FROM customer WHERE c_nationkey IN (1, 5, 9, -1)
 sql("p5_like", "SELECT p_partkey, p_name FROM part WHERE (p_name LIKE 'a%' OR p_name LIKE '%e' OR p_name LIKE '%ar%') AND p_type NOT LIKE '%STEEL%'")
 sql("p6_between_time", "SELECT event_id, ts FROM events WHERE ts BETWEEN timestamp_ntz'2024-01-05 00:00:00' AND timestamp_ntz'2024-01-09 12:00:00'", "SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-09 12:00:00'")
 sql("p7_relative_time", "SELECT count(*) AS n FROM events WHERE ts >= timestamp_ntz'2024-01-20 00:00:00' - INTERVAL '7' DAY AND ts < timestamp_ntz'2024-01-20 00:00:00' + INTERVAL '90' MINUTE", "SELECT count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL '7 days' AND ts < TIMESTAMP '2024-01-20' + INTERVAL 90 MINUTE")
+#: Days that end today, so that ranges relative to now have rows: 45 of them, rows at six in the morning.
+RECENT = "SELECT CAST(CAST(now() AS DATE) AS TIMESTAMP) - INTERVAL 1 DAY * CAST(event_id % 45 AS INT) + INTERVAL 6 HOUR AS time, value FROM events"
+sql(
+    "p7_now",
+    f"SELECT count(*) AS n, count(CASE WHEN time > current_timestamp() - INTERVAL '24' HOUR THEN 1 END) AS m, min(time) AS first FROM ({RECENT.replace('TIMESTAMP', 'TIMESTAMP_NTZ')}) WHERE time >= now() - INTERVAL '7' DAY AND time < now() + INTERVAL '90' MINUTE",
+    f"SELECT count(*) AS n, count(CASE WHEN time > current_timestamp - INTERVAL 24 HOUR THEN 1 END) AS m, min(time) AS first FROM ({RECENT}) WHERE time >= now() - INTERVAL 7 DAY AND time < now() + INTERVAL 90 MINUTE",
+)
 sql("p8_case", "SELECT CASE WHEN l_quantity < 10 THEN 'low' WHEN l_quantity < 30 THEN 'mid' ELSE 'high' END AS band, count(*) AS n FROM lineitem GROUP BY CASE WHEN l_quantity < 10 THEN 'low' WHEN l_quantity < 30 THEN 'mid' ELSE 'high' END")
 sql("p9_is_null", "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL")
 

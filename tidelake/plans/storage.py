@@ -63,12 +63,19 @@ def s3_multi_tier_scan(load, spark):
     return lake.read("main", "events")
 
 
-@query(f"SELECT host, count(*) AS n, max(live) AS live FROM (SELECT *, 0 AS live FROM ({PLAIN}) UNION ALL SELECT ts, 'live', 'u' || user_id, value, NULL, 1 FROM events WHERE event_id % 10 = 0) GROUP BY host")
+@query(f"SELECT host, count(*) AS n, max(live) AS live, CAST(sum(coalesce(event_id, 0)) AS BIGINT) AS ids FROM (SELECT *, 0 AS live FROM ({PLAIN}) UNION ALL SELECT ts, event_type, 'u' || user_id, value, event_id, 1 FROM events WHERE event_id % 10 = 0) GROUP BY host")
 def s4_live_rows(load, spark):
-    lake = lake_of(spark, "s4")
+    """Rows that agents hold, asked for by URL (files of answers, and one that is not there), united below the query."""
+    from tidelake.sources.live import live_rows
+
+    lake, folder = lake_of(spark, "s4"), paths.scratch(spark, "agents")
     e = events(load)
-    live = e.filter("event_id % 10 = 0").select("time", F.lit("live").alias("event_type"), "host", "value", F.lit(1).alias("live"))
-    return lake.with_live(e.withColumn("live", F.lit(0)), live).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.max("live").alias("live"))
+    lake.write(e, "main", "events", ["event_type", "host"])
+    record = F.to_json(F.struct(F.lit("ev").alias("m"), micros("time").alias("t"), F.col("host").alias("h"), F.struct("value", "event_id", F.lit(1).alias("live")).alias("fields"), F.struct("event_type").alias("tags")))
+    e.filter("event_id % 10 = 0").select(F.concat(record, F.lit(",")).alias("r")).groupBy(F.lit(1)).agg(F.concat(F.lit("["), F.concat_ws("", F.collect_list("r")), F.lit('{"m":"x"}]')).alias("value")).select("value").write.text(folder)
+    urls = [f"file://{folder}/{n}" for n, _, _ in paths.children(spark, folder) if n.startswith("part")] + [f"file://{folder}/none"]
+    both = lake.with_live(lake.read("main", "events").withColumn("live", F.lit(0).cast("long")), live_rows(spark, urls, "ev"))
+    return both.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.max("live").cast("int").alias("live"), F.sum(F.coalesce("event_id", F.lit(0))).alias("ids"))
 
 
 @query("SELECT ts AS time, event_type, 'a b,' || user_id AS host, value, event_id, 'say \"' || event_type || '\"' AS note, event_id % 2 = 0 AS even FROM events")
@@ -86,6 +93,114 @@ def s6_records(load, spark):
     return to_table(records(e.select(json.alias("value"))), "ev")[0]
 
 
+def packed(rows: DataFrame, shape: str, encoding: str = "") -> DataFrame:
+    """(value) MessagePack bodies of about a thousand rows (time, event_type, host, value, event_id) each, as agents send them."""
+
+    def bodies(batches):
+        import gzip
+
+        import pyarrow as pa
+        import zstandard
+
+        from tidelake.sources.records import pack
+
+        squeeze = {"gzip": gzip.compress, "zstd": zstandard.ZstdCompressor().compress, "": bytes}[encoding]
+        for b in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
+            t, kind, host, value, number = (c.to_pylist() for c in b.columns)
+            if shape == "columns":
+                body = {"m": "ev", "columns": {"time": t, "event_type": kind, "host": host, "value": value, "event_id": number}, "tags": ["event_type", "host"]}
+            else:
+                each = [{"m": "ev", "t": a, "h": h, "tags": {"event_type": k}, "fields": {"value": v, "event_id": n}} for a, k, h, v, n in zip(t, kind, host, value, number)]
+                body = {"batch": each} if shape == "batch" else each
+            yield pa.RecordBatch.from_pydict({"value": pa.array([squeeze(pack(body))], pa.binary())})
+
+    return rows.select(micros("time"), "event_type", "host", "value", "event_id").mapInArrow(bodies, "value binary")
+
+
+def _messagepack(name: str, shape: str, encoding: str) -> None:
+    def f(load, spark):
+        return to_table(records(packed(events(load), shape, encoding)), "ev")[0].select("time", "event_type", "host", "value", "event_id")
+
+    f.__name__ = name
+    query(PLAIN)(f)
+
+
+for _name, _shape, _encoding in (("s6_messagepack_rows", "rows", ""), ("s6_messagepack_batch", "batch", ""), ("s6_messagepack_columns", "columns", ""), ("s13_zstd_bodies", "columns", "zstd"), ("s13_gzip_bodies", "rows", "gzip")):
+    _messagepack(_name, _shape, _encoding)
+
+
+@query(PLAIN)
+def s12_agent_parquet(load, spark):
+    """Parquet bodies of an agent, times as whole numbers, written twice under one name: the second takes the first's place."""
+    from tidelake.sources.imports import ingest_parquet
+
+    lake, folder = lake_of(spark, "s12"), paths.scratch(spark, "body")
+    events(load).withColumn("time", micros("time")).write.parquet(folder)
+    for _ in range(2):
+        ingest_parquet(lake, folder, "main", "events", ["event_type", "host"], batch="agent-1")
+    return lake.read("main", "events")
+
+
+@query("SELECT * FROM (VALUES ('databases', 'main', ''), ('databases', 'ops', ''), ('tables', 'main.events', 'lake'), ('columns', 'ops.even.event_id', 'field'), ('columns', 'ops.even.host', 'tag'), ('columns', 'ops.even.time', 'time'), ('described', 'host', 'tag'), ('hidden', 'main', '')) t(what, name, more)")
+def s16_catalogs(load, spark):
+    """SHOW, DESCRIBE and the catalog's tables; what the grants don't cover is not there."""
+    from tidelake.plans.lake_sql import lake_sql
+
+    lake, e = lake_of(spark, "s16"), events(load)
+    lake.write(e, "main", "events", ["event_type", "host"])
+    lake.write(e.select("time", "host", "event_id"), "ops", "even", ["host"])
+    asked = {
+        "databases": "SHOW DATABASES", "tables": "SHOW TABLES FROM main", "described": "DESCRIBE ops.even",
+        "columns": "SELECT table_schema || '.' || table_name || '.' || column_name AS name, column_kind AS more FROM information_schema.columns WHERE table_schema = 'ops' ORDER BY 1",
+    }
+    rows = [("databases", r["database"], "") for r in lake_sql(lake, asked["databases"]).collect()]
+    rows += [("tables", f"{r['database']}.{r['table_name']}", "lake" if r["storage_path"].startswith(lake.root) else "") for r in lake_sql(lake, asked["tables"]).collect()]
+    rows += [("columns", *r) for r in lake_sql(lake, asked["columns"]).collect()]
+    rows += [("described", r["column_name"], r["column_kind"]) for r in lake_sql(lake, asked["described"]).collect() if r["column_name"] == "host"]
+    rows += [("hidden", r["schema_name"], "") for r in lake_sql(lake, "SELECT schema_name FROM information_schema.schemata", grants=[("main", "*")]).collect()]
+    return spark.createDataFrame(rows, "what string, name string, more string")
+
+
+@query("SELECT ts AS time, 'd' || user_id AS dn, value AS temperature, event_id AS seq FROM events")
+def s7_message_stream(load, spark):
+    """Messages landed as files, taken in as a stream, each micro-batch written under its number."""
+    from tidelake.streaming.continuous import ingest_points
+
+    lake, folder = lake_of(spark, "s7"), paths.scratch(spark, "landed")
+    text = F.to_json(F.struct(micros("ts").alias("timestamp"), F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("dn"), F.struct(F.col("value").alias("temperature")).alias("properties"), F.col("event_id").alias("seq")))
+    load("events").select(text.alias("value")).write.text(folder)
+    ingest_points(messages(spark.readStream.text(folder)), lake, "main", paths.scratch(spark, "state")).awaitTermination()
+    return lake.read("main", "mqtt").select("time", "dn", "temperature", "seq")
+
+
+@query(PLAIN)
+def k11_replayed_batch(load, spark):
+    """A micro-batch that fails after it was written, and is run again: its rows are there once."""
+    from tidelake.streaming import continuous
+
+    lake, folder, state = lake_of(spark, "k11"), paths.scratch(spark, "source"), paths.scratch(spark, "state")
+    e = events(load)
+    e.write.parquet(folder)
+    stream = spark.readStream.schema(e.schema).parquet(folder)
+    continuous.ingest(stream, lake, "main", "events", state, ["event_type", "host"]).awaitTermination()
+    for n, _, _ in paths.children(spark, f"{state}/commits"):  # as if the driver had been lost before the commit
+        paths.delete(spark, f"{state}/commits/{n}")
+    continuous.ingest(stream, lake, "main", "events", state, ["event_type", "host"]).awaitTermination()
+    return lake.read("main", "events")
+
+
+@query("SELECT ts AS time, event_id, user_id, event_type, value FROM events")
+def s8_csv_preambles(load, spark):
+    """Files that each begin with two lines of a preamble and a header, with a delimiter of their own."""
+    path = paths.scratch(spark, "csv")
+    line = F.concat_ws(";", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "event_id", "user_id", F.concat(F.lit('"'), "event_type", F.lit('"')), F.col("value").cast("string"))
+    for part in range(3):
+        head = spark.createDataFrame([("# written by a device\n# for a test\nwhen;event_id;user_id;event_type;value",)], "value string")
+        body = load("events").filter(F.col("event_id") % 3 == part).select(line.alias("value")).agg(F.concat_ws("\n", F.collect_list("value")).alias("value"))
+        head.crossJoin(body.withColumnRenamed("value", "body")).select(F.concat_ws("\n", "value", "body").alias("value")).coalesce(1).write.mode("append").text(path)
+    return import_csv(spark, path, "when", delimiter=";", skip_rows=2)
+
+
 @query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 1700000000 + event_id WHEN event_id % 4 = 1 THEN 1700000000123 WHEN event_id % 4 = 2 THEN 1700000000123456 ELSE 1700000000123456789 END AS t, CASE WHEN event_id % 4 = 0 THEN (1700000000 + event_id) * 1000000 WHEN event_id % 4 = 1 THEN 1700000000123000 ELSE 1700000000123456 END AS us, CASE WHEN event_id % 4 = 0 THEN (1700000000 + event_id) * 1000000 WHEN event_id % 4 = 1 THEN 1700000000123000 ELSE 1700000000123456 END AS mqtt FROM events")
 def s6b_epoch_units(load, spark):
     i = F.col("event_id")
@@ -173,18 +288,28 @@ def m8_delete(load, spark):
     return lake.read("main", "events")
 
 
-@query("SELECT o_orderkey AS path, 'orphan' AS problem FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3) UNION ALL SELECT DISTINCT l_orderkey, 'missing' FROM lineitem WHERE l_linenumber = 3 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+HOURS = "SELECT DISTINCT strftime(ts, 'dt=%Y-%m-%d/hr=%H') AS path, CAST(date_part('hour', ts) AS INT) AS h FROM events"
+
+
+@query(f"SELECT path, 'orphan' AS problem FROM ({HOURS}) WHERE h % 5 = 0 UNION ALL SELECT path || '/lost', 'missing' FROM ({HOURS}) WHERE h % 7 = 0")
 def m12_reconcile(load, spark):
-    stored = load("orders").select(F.col("o_orderkey").alias("path"))
-    listed = load("lineitem").filter("l_linenumber = 3").select(F.col("l_orderkey").alias("path")).distinct()
-    return maintenance.reconcile(stored, listed)
+    """The files that a store lists against a list that lacks some of them and has others that are gone."""
+    lake = lake_of(spark, "m12")
+    lake.write(events(load), "main", "events", ["event_type", "host"])
+    listing = [(maintenance.folder_of(f), size, modified) for f, size, modified in paths.files(spark, lake.path("main", "events"))]
+    stored = spark.createDataFrame(listing, "path string, bytes long, modified long")
+    hour = F.substring("path", -2, 2).cast("int")
+    listed = stored.filter(hour % 5 != 0).select("path").unionByName(stored.filter(hour % 7 == 0).select(F.concat("path", F.lit("/lost")).alias("path")))
+    return maintenance.reconcile(stored, listed, now_ms=1 << 60)
 
 
-@query("SELECT 'main' AS database, 'events' AS table_name, 'hot' AS tier, count(DISTINCT date_trunc('hour', ts)) > 0 AS some FROM events")
+@query("SELECT 'main' AS database, 'events' AS table_name, 'hot' AS tier, count(DISTINCT date_trunc('hour', ts)) AS file_count, true AS bytes_agree FROM events")
 def i2_measurements(load, spark):
+    """One file an hour; the bytes agree with what a listing of the files' contents gives."""
     lake = lake_of(spark, "i2")
     lake.write(events(load), "main", "events", ["event_type", "host"])
-    return lake.stats("main").select("database", "table_name", "tier", (F.col("file_count") > 0).alias("some"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(lake.path("main", "events")).agg(F.sum("length")).first()[0]
+    return lake.stats("main").select("database", "table_name", "tier", "file_count", (F.col("total_bytes") == listed).alias("bytes_agree"))
 
 
 @query("SELECT date_trunc('hour', ts) AS time, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-05 12:00:00' GROUP BY 1, 2")
@@ -265,6 +390,48 @@ def m2_daily_compaction(load, spark):
     return lake.read("main", "events")
 
 
+@query("SELECT strftime(ts, '%Y-%m-%d') AS dt, CASE WHEN date_trunc('day', ts) < TIMESTAMP '2024-01-20' THEN 'day' ELSE strftime(ts, '%H') END AS hr, 1 AS files, count(*) AS n, count(*) FILTER (WHERE ts BETWEEN TIMESTAMP '2024-01-03 05:30:00' AND TIMESTAMP '2024-01-25 09:00:00') AS within FROM events GROUP BY 1, 2 HAVING within > 0")
+def m2_day_files(load, spark):
+    """Days that are over have one file of their own; ranges of time still find their rows in days and in hours."""
+    lake = lake_of(spark, "m2d")
+    lake.write(events(load), "main", "events", ["event_type", "host", "event_id"])
+    maintenance.compact(lake, "main", "events", least=12, daily=True, older_than=datetime(2024, 1, 20))
+    whole = lake.read("main", "events", internal=True).groupBy("dt", "hr").agg(F.countDistinct("_metadata.file_path").cast("int").alias("files"), F.count(F.lit(1)).alias("n"))
+    within = lake.read("main", "events", "2024-01-03 05:30:00", "2024-01-25 09:00:00.000001", internal=True).groupBy("dt", "hr").agg(F.count(F.lit(1)).alias("within"))
+    return whole.join(within, ["dt", "hr"])
+
+
+@query("SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+def c9_sessions(load, spark):
+    """Sessions with pauses shorter than half an hour, over a stream of all events."""
+    from tidelake.streaming.continuous import stream_sessions
+
+    df, folder = load("events"), paths.scratch(spark, "source")
+    df.write.parquet(folder)
+    out = drained(stream_sessions(spark.readStream.schema(df.schema).parquet(folder)), spark)
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+TOOLS = [("list_databases", ""), ("list_measurements", "database"), ("describe_measurement", "database, measurement"), ("sample_data", "database, measurement, rows"), ("query", "sql, database"), ("write_data", "database, lines"), ("help", "")]
+
+
+@query("SELECT 'rows' AS what, count(*) AS n, 'event_type:tag host:tag time:time value:field event_id:field' AS said FROM events UNION ALL SELECT 'sample', 7, '' UNION ALL SELECT 'written', 2, 'cpu' UNION ALL SELECT 'help', " + str(len(TOOLS)) + ", '" + "; ".join(f"{n}({a})" for n, a in TOOLS) + "'")
+def i9_assistant_tools(load, spark):
+    from tidelake.operators.tools import Tools
+
+    lake = lake_of(spark, "i9")
+    lake.write(events(load), "main", "events", ["event_type", "host"])
+    tools = Tools(lake, [("main", "*")], writes=True)
+    kinds = {r["column_name"]: r["column_kind"] for r in tools.call("describe_measurement", database="main", measurement="events")}
+    told = " ".join(f"{c}:{kinds[c]}" for c in ("event_type", "host", "time", "value", "event_id"))
+    rows = [("rows", tools.call("query", sql="SELECT count(*) AS n FROM events")[0]["n"], told)]
+    rows.append(("sample", len(tools.call("sample_data", database="main", measurement="events", rows=7)), ""))
+    rows.append(("written", tools.call("write_data", database="main", lines="cpu,host=a u=1 1\ncpu,host=b u=2 2")[0]["rows"], tools.call("list_measurements", database="main")[0]["table_name"]))
+    found = tools.call("help")
+    rows.append(("help", len(found), "; ".join(f"{t['tool']}({t['arguments']})" for t in found)))
+    return spark.createDataFrame(rows, "what string, n long, said string")
+
+
 @query("SELECT 'kept' AS database, count(*) AS n FROM events")
 def m13_drop_database(load, spark):
     lake = lake_of(spark, "m13")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelake import paths
 from tidelake.functions.time import at, epoch_to_micros
 
 UNITS = {"epoch_s": 1_000_000, "epoch_ms": 1_000, "epoch_us": 1}
@@ -70,16 +73,18 @@ def inferred(df: DataFrame, skip: list[str] = ()) -> DataFrame:
 def import_csv(spark: SparkSession, path: str, time_column: str = "time", time_format: str = "auto", delimiter: str = ",", skip_rows: int = 0) -> DataFrame:
     """time and typed columns of CSV files with a header; short rows are padded, a byte order mark is dropped."""
     if skip_rows:
-        lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-        raw = [r["value"] for r in lines.orderBy("n").limit(skip_rows + 1).collect()]
-        header = raw[skip_rows].lstrip("﻿")
-        skipped = set(raw)
-        from pyspark.sql.types import StringType, StructField, StructType
-
-        names = [h.strip().strip('"') for h in header.split(delimiter)]
-        schema = StructType([StructField(n, StringType()) for n in names])
-        body = lines.filter(~((F.col("n") <= skip_rows) & F.col("value").isin(*skipped))).select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": delimiter}).alias("r"))
-        df = body.select("r.*")
+        # each file has its own preamble and header; a file's first range is where its lines are counted
+        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+        lines = spark.read.text(path).select("value", *place).withColumn("n", F.monotonically_increasing_id())
+        first = lines.filter("block = 0").groupBy("file").agg(F.min("n").alias("first"))
+        lines = lines.join(F.broadcast(first), "file").withColumn("i", F.when(F.col("block") == 0, F.col("n") - F.col("first")))  # one row a file
+        header = lines.filter(F.col("i") == skip_rows).orderBy("file").first()
+        if header is None:
+            raise ValueError("no header after the rows to skip")
+        names = next(csv.reader([header["value"].lstrip("\ufeff")], delimiter=delimiter))
+        schema = ", ".join("`" + c.strip().replace("`", "``") + "` string" for c in names)
+        body = lines.filter((F.col("i") > skip_rows) | F.col("i").isNull()).filter(F.trim("value") != "")
+        df = body.select(F.from_csv("value", schema, {"sep": delimiter, "escape": '"'}).alias("r")).select("r.*")
     else:
         df = spark.read.option("header", True).option("sep", delimiter).option("mode", "PERMISSIVE").option("escape", '"').csv(path)
         df = df.toDF(*(c.lstrip("﻿") for c in df.columns))
@@ -111,3 +116,20 @@ def import_parquet(spark: SparkSession, path: str, time_column: str = "time") ->
         else:
             raise ValueError(f"column {f.name!r}: type {kind} cannot be imported")
     return df.select(*out)
+
+
+def ingest_parquet(lake, source: str | bytes, db: str, name: str, tags: list[str] = (), time_column: str = "time", batch: str | None = None) -> int:
+    """Writes an agent's Parquet body (bytes), or the files at a path, into a measurement; the rows that were written.
+
+    Types and times are those of import_parquet(): whole numbers of time by the unit that their size tells. Rows without
+    a time are left out.
+    """
+    spark = lake.spark
+    if isinstance(source, bytes | bytearray):
+        path = paths.scratch(spark, "body") + ".parquet"
+        paths.write_bytes(spark, path, bytes(source))
+    else:
+        path = source
+    rows = paths.stored(import_parquet(spark, path, time_column), "import")
+    lake.write(rows, db, name, tags, batch=batch)
+    return rows.filter("time is not null").count()

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame
 
 from tidelake.sources.points import decoded, point
+from tidelake.sources.records import plain_body
 
 #: Microseconds of a unit of each precision, as (multiplier, divisor).
 PRECISIONS = {"ns": (1, 1000), "us": (1, 1), "ms": (1000, 1), "s": (1_000_000, 1)}
@@ -104,7 +105,19 @@ def decode_lines(text: str, precision: str = "ns") -> list[tuple]:
 
 
 def line_protocol(df: DataFrame, column: str = "value", precision: str = "ns") -> DataFrame:
-    """Points of a column of line protocol, one or many lines a value; bad lines and comments are skipped."""
+    """Points of a column of line protocol, one or many lines a value; bad lines and comments are skipped.
+
+    A binary column holds bodies, which may be compressed; one that is broken gives no points.
+    """
     if precision not in PRECISIONS:
         raise ValueError(f"precision must be one of {sorted(PRECISIONS)}")
-    return decoded(df, column, lambda text: decode_lines(text, precision))
+
+    def decode(value: str | bytes) -> list[tuple]:
+        if isinstance(value, str):
+            return decode_lines(value, precision)
+        try:
+            return decode_lines(plain_body(bytes(value)).decode("utf-8", "replace"), precision)
+        except ValueError:
+            return []
+
+    return decoded(df, column, decode)

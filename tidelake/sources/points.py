@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelake import paths
+
 #: time is in microseconds; null where the point has none that is valid (the caller says what then holds).
 POINTS = "measurement string, time long, tags map<string,string>, ints map<string,long>, floats map<string,double>, strings map<string,string>, bools map<string,boolean>"
 NAMES = [c.split()[0] for c in POINTS.split(", ")]
@@ -33,13 +37,25 @@ def point(measurement: str, time: int | None, tags: dict, fields: dict) -> tuple
     return measurement, time, {str(k): str(v) for k, v in tags.items() if v is not None}, ints, floats, strings, bools
 
 
+def map_array(dicts: list[dict], kind: pa.DataType) -> pa.MapArray:
+    """Dicts as Arrow's maps, from one array of all keys and one of all values."""
+    ends = np.zeros(len(dicts) + 1, np.int32)
+    np.cumsum(np.fromiter(map(len, dicts), np.int32, len(dicts)), out=ends[1:])
+    keys = pa.array(list(itertools.chain.from_iterable(dicts)), pa.string())
+    values = pa.array(list(itertools.chain.from_iterable(d.values() for d in dicts)), kind)
+    return pa.MapArray.from_arrays(pa.array(ends), keys, values)
+
+
 def batch(points: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*points)) if points else [()] * len(NAMES)
-    return pa.RecordBatch.from_arrays([pa.array([list(v.items()) if isinstance(v, dict) else v for v in c], k) for c, k in zip(cols, _KINDS)], NAMES)
+    return pa.RecordBatch.from_arrays([map_array(c, k.item_type) if pa.types.is_map(k) else pa.array(c, k) for c, k in zip(cols, _KINDS)], NAMES)
 
 
 def decoded(df: DataFrame, column: str, decode) -> DataFrame:
-    """Points of each value of a column; decode(value) gives a list of them. Bad input gives none."""
+    """Points of each value of a column; decode(value) gives a list of them. Bad input gives none.
+
+    Input in fewer parts than there are cores, as one small file, is dealt out first: decoding is the work.
+    """
 
     def run(batches):
         for b in batches:
@@ -53,13 +69,16 @@ def decoded(df: DataFrame, column: str, decode) -> DataFrame:
             if found:
                 yield batch(found)
 
-    return df.select(column).mapInArrow(run, POINTS)
-
-
+    rows = df.select(column)
+    if not df.isStreaming:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+            rows = rows.repartition(cores)
+    return rows.mapInArrow(run, POINTS)
 
 
 def names(points: DataFrame, measurement: str) -> dict[str, list[str]]:
-    """Tag and field names of a measurement by kind: as many rows as columns come to the driver."""
+    """Tag and field names of a measurement by kind: as many rows as columns come to the driver. Reads points once."""
     of = points.filter(F.col("measurement") == measurement)
     kinds = ["tags", "ints", "floats", "strings", "bools"]
     keys = of.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.map_keys(k).alias("names")) for k in kinds))).alias("x"))
@@ -72,8 +91,11 @@ def to_table(points: DataFrame, measurement: str, now: str | None = None) -> tup
 
     A field whose name a tag has is called <name>_value; names that begin with _ are dropped. A field seen with
     whole numbers and others is a double, with other mixtures a string. Points without a time get `now` (a
-    timestamp), the time of decoding unless stated.
+    timestamp), the time of decoding unless stated. Points are looked at twice, for their names and for their values,
+    so those that are still to be decoded are stored first: they are decoded once.
     """
+    if points._jdf.queryExecution().optimizedPlan().toString().find("MapInArrow") >= 0:
+        points = paths.stored(points, "points")
     by = names(points, measurement)
     tags = [t for t in by["tags"] if not t.startswith("_") and t != "time"]
     of = points.filter(F.col("measurement") == measurement)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import re
 import threading
 from collections.abc import Callable
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tidelake import paths
 from tidelake.catalog import Lake
+from tidelake.plans import lake_sql
+from tidelake.plans.translate import translate
+from tidelake.sources.points import to_table
 
 #: The first run looks back so far; the shortest interval of a schedule.
 FIRST, SHORTEST = timedelta(hours=1), timedelta(seconds=10)
@@ -31,6 +35,8 @@ def duration(text: str) -> timedelta:
 class ContinuousQuery:
     """SQL with {start_time} and {end_time} over source, run window by window into target.
 
+    The SQL is the dialect's, checked like any user's: one query, of what is allowed, of tables that the lake has.
+
     The rows are written before the progress is, so a run that fails is run again; rows without a time get the
     window's start, and the target is deduplicated by its tags and time, so running again changes nothing. Without
     tags a time must be unique; a window where it is not is refused before anything is written.
@@ -49,6 +55,8 @@ class ContinuousQuery:
             raise ValueError("the query needs {start_time} and {end_time}")
         if duration(self.interval) < SHORTEST:
             raise ValueError(f"the interval is shorter than {SHORTEST}")
+        now = datetime(2000, 1, 1)
+        lake_sql.references(self.lake.spark, translate(self.text(now, now)))  # refuses what is no query
 
     @property
     def progress(self) -> str:
@@ -59,15 +67,14 @@ class ContinuousQuery:
         return datetime.fromisoformat(text) if text else None
 
     def text(self, start: datetime, end: datetime) -> str:
-        stamp = lambda t: f"timestamp_ntz'{t.isoformat(sep=' ')}'"
+        stamp = lambda t: f"TIMESTAMP '{t.isoformat(sep=' ')}'"
         return self.sql.replace("{start_time}", stamp(start)).replace("{end_time}", stamp(end))
 
     def result(self, start: datetime, end: datetime) -> DataFrame:
-        view = f"{self.db}_{self.source}_to_{self.target}".replace("-", "_")  # of this query alone, as others may run beside it
-        self.lake.read(self.db, self.source, start, end).createOrReplaceTempView(view)
-        query = re.sub(rf"\b{re.escape(self.db)}\.{re.escape(self.source)}\b", view, self.text(start, end))
-        out = self.lake.spark.sql(query)
-        self.lake.spark.catalog.dropTempView(view)
+        """The window's rows; the source's name is found in the parsed query, and only the window's folders are read."""
+        text = translate(self.text(start, end))
+        refs = [(a, b, *lake_sql.named(parts, self.db)) for a, b, parts in lake_sql.references(self.lake.spark, text)]
+        out = lake_sql.bound(self.lake, text, refs, {(self.db, self.source): (start, end)})
         return out if "time" in out.columns else out.withColumn("time", F.lit(str(start)).cast("timestamp_ntz"))
 
     def run(self, start: datetime, end: datetime, dry_run: bool = False) -> str:
@@ -144,10 +151,38 @@ def stream_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 h
     return grouped.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "n")
 
 
-def ingest(stream: DataFrame, lake: Lake, db: str, name: str, checkpoint: str, tags: list[str] = (), available_now: bool = True):
-    """Appends a stream (time, ...) to a measurement, micro-batch by micro-batch."""
-    writer = stream.writeStream.foreachBatch(lambda df, _: lake.write(df, db, name, tags)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
+def ingest(stream: DataFrame, lake: Lake, db: str, name: str, checkpoint: str, tags: list[str] = (), available_now: bool = True, every: str = "5 seconds"):
+    """Appends a stream (time, ...) to a measurement, micro-batch by micro-batch.
+
+    A batch is written under its number and the checkpoint's name, so one that is run again after a failure takes the
+    place of what it left: rows are there once.
+    """
+    stream_name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def write(df: DataFrame, number: int) -> None:
+        lake.write(df, db, name, tags, batch=f"{stream_name}-{number}")
+
+    return _started(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now, every)
+
+
+def _started(writer, available_now: bool, every: str):
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+
+
+def ingest_points(stream: DataFrame, lake: Lake, db: str, checkpoint: str, available_now: bool = True, every: str = "5 seconds"):
+    """Appends a stream of points (messages(), records(), line_protocol() over landed payloads or a queue's values).
+
+    Each measurement in a micro-batch is written as a table of its own; a batch is decoded once. Written as in ingest().
+    """
+    stream_name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def write(df: DataFrame, number: int) -> None:
+        points = paths.stored(df, "points")
+        for r in points.select("measurement").distinct().collect():  # measurements, not rows
+            table, tags = to_table(points, r["measurement"])
+            lake.write(table, db, r["measurement"], tags, batch=f"{stream_name}-{number}")
+
+    return _started(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now, every)
 
 
 def drained(stream: DataFrame, spark: SparkSession, mode: str = "complete") -> DataFrame:
