@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tidelake import paths
+
 #: The white space of the contracts, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -18,34 +19,10 @@ SPACES = " \t\n\x0b\x0c\r"
 _open: list[list[str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where it names none.
-
-    The latter is for a session in one process only (tests): a folder of one machine is none that a cluster shares.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return named or "/tmp/checkpoints/tidelake"
-
-
-def file_system(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def shared_path(spark: SparkSession, what: str = "tidelake") -> str:
-    """A new path in the shared folder. What lies there goes when the session's process ends, if not before."""
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    fs, p = file_system(spark, path)
-    fs.deleteOnExit(p.makeQualified(fs.getUri(), fs.getWorkingDirectory()))
-    return path
-
-
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = shared_path(spark)
+    path = paths.scratch(spark, "table")
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidelake_path = path
@@ -58,8 +35,7 @@ def discard(df: DataFrame) -> None:
     """Deletes a table that written() made and that nothing reads any more."""
     path = getattr(df, "_tidelake_path", None)
     if path:
-        fs, p = file_system(df.sparkSession, path)
-        fs.delete(p, True)
+        paths.delete(df.sparkSession, path)
 
 
 def settled(build: Callable[[], DataFrame], keep: tuple[DataFrame, ...] = ()) -> DataFrame:
@@ -72,8 +48,7 @@ def settled(build: Callable[[], DataFrame], keep: tuple[DataFrame, ...] = ()) ->
     held = {getattr(d, "_tidelake_path", None) for d in (out, *keep)}
     for path in tables:
         if path not in held:
-            fs, p = file_system(out.sparkSession, path)
-            fs.delete(p, True)
+            paths.delete(out.sparkSession, path)
         elif _open:
             _open[-1].append(path)
     return out
@@ -143,6 +118,35 @@ def components(links: DataFrame) -> DataFrame:
     return nodes if nodes is not None else spark.createDataFrame([], T.StructType([T.StructField("node", T.LongType()), T.StructField("component", T.LongType())]))
 
 
+#: Words of 64 bits, with a key each, that are sent to all tasks at most: 16 MB, for 2^26 rows of a bit, 2^24 of four.
+WORDS = 1 << 20
+
+
+def copied(read: DataFrame, row: str, plan: DataFrame, bits: int = 4, words: int = WORDS) -> DataFrame:
+    """read's rows, all columns, each as many times as plan (row, copies) says: not at all where it has none.
+
+    row is a column of read that monotonically_increasing_id() has made, so rows that lie together share a word of 64
+    bits, `bits` a row. The words, at most `words` of them, are sent to all tasks and no row of read is moved; a plan
+    with more words, or more copies than the bits hold, is joined by row. Both give the same rows.
+    """
+    word, held, copies = fresh(read, "word", "held", "copies")
+    each = 64 // bits
+    place = lambda c: ((F.col(c) % each) * bits).cast("int")
+    at = lambda c: F.call_function("shiftright", F.col(c), F.lit(each.bit_length() - 1))
+    most, n = plan.agg(F.max("copies"), F.countDistinct(at("row"))).first()
+    if not n:
+        return read.filter(F.lit(False))
+    if n <= words and most < 1 << bits:
+        table = written(plan.groupBy(at("row").alias(word)).agg(F.bit_or(F.call_function("shiftleft", F.col("copies").cast("long"), place("row"))).alias(held)))
+        found = read.withColumn(word, at(row)).join(F.broadcast(table), word)
+        found = found.withColumn(copies, F.call_function("shiftrightunsigned", F.col(held), place(row)).bitwiseAND((1 << bits) - 1).cast("int")).filter(F.col(copies) > 0)
+    else:
+        found = read.join(plan.select(F.col("row").alias(word), F.col("copies").cast("int").alias(copies)), F.col(row) == F.col(word))
+    if most > 1:
+        found = found.withColumn(held, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return found.select(*(F.col(f"`{c}`") for c in read.columns))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before those that df has already."""
     have = {c.lower() for c in df.columns}

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import SPACES, fresh, settled, written
+from tidelake.llm.common import SPACES, copied, fresh, settled, written
 
 #: Counters of the Misra-Gries summary: a digest held by more than 1 in COUNTERS + 1 rows is always found.
 COUNTERS = 1024
@@ -88,5 +88,5 @@ def distinct_texts(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """
     (row,) = fresh(docs, "row")
     read = written(docs.withColumn(row, F.monotonically_increasing_id()))
-    kept = settled(lambda: exact_groups(read, counters, row).filter("kept").select(F.col("row").alias("kept_row")))
-    return read.join(kept, read[row] == kept["kept_row"], "left_semi").select(*docs.columns)
+    kept = settled(lambda: exact_groups(read, counters, row).filter("kept").select("row", F.lit(1).alias("copies")))
+    return copied(read, row, kept, bits=1).drop(row)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidelake.llm.common import fresh, numbered, settled, written
+from tidelake.llm.common import copied, fresh, numbered, settled, written
 
 #: Weights of the sources by code point, repeated; the mix's share of all sizes; the most that a source is repeated.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
@@ -132,6 +132,4 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     (row,) = fresh(docs, "row")
     read = written(docs.withColumn(row, F.monotonically_increasing_id()))
     plan = settled(lambda: mix_plan(read, row=row, **parameters).filter("copies > 0").select("row", F.col("copies").cast("int").alias("copies")))
-    held = read.select(F.col(row).alias("row"), F.struct("*").alias("doc"))  # so that no name of docs meets one of ours
-    taken = held.join(plan, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return taken.select("doc.*").drop(row)
+    return copied(read, row, plan).drop(row)

@@ -20,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import components, fresh, partitions, settled, written
+from tidelake.llm.common import components, copied, fresh, partitions, settled, written
 
 #: Members of a bucket that are compared in one piece; larger buckets are compared in pairs of blocks.
 BLOCK = 4096
 #: Parts of the keys that are counted before single keys are.
 CELLS = 1 << 20
 #: Distinct fingerprints from which on longer keys are cheaper than the pairs that shorter ones bring together.
-MANY = 1 << 31
+MANY = 1 << 30
 #: Documents of a group whose shingle sets are compared in one piece.
 SET_BLOCK = 128
 SEED = 42
@@ -507,7 +507,7 @@ def near_kept(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame
     share a key (soft_keys) and differ in few bits are near, and sets decide within what is near. A link can be
     missed only where all its keys differ: see soft_keys for how often.
     """
-    row, text_row = fresh(docs, "row", "near_row")
+    (row,) = fresh(docs, "row")
     read = written(docs.withColumn(row, F.monotonically_increasing_id()))
     slim = read.select(F.col(row).alias("row"), "doc_id", "text")
     # bitwise not turns the order round and, unlike a minus, holds for every long
@@ -515,7 +515,6 @@ def near_kept(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame
 
     def staying() -> DataFrame:
         ranked = similar_groups(slim, k, similarity).join(slim.select("row", rank.alias("rank")), "row")
-        return ranked.groupBy("group").agg(F.bitwise_not(F.max("rank")["first"]).alias(text_row)).select(text_row)
+        return ranked.groupBy("group").agg(F.bitwise_not(F.max("rank")["first"]).alias("row")).select("row", F.lit(1).alias("copies"))
 
-    stays = settled(staying)
-    return read.join(stays, read[row] == stays[text_row], "left_semi").select(*docs.columns)
+    return copied(read, row, settled(staying), bits=1).drop(row)
