@@ -93,6 +93,18 @@ def test_numbered(spark):
         assert sorted(rows) == sorted(rows, key=lambda r: (r[1], r[2]))
 
 
+def test_copied(spark):
+    read = common.written(spark.range(3000, numPartitions=3).select("id", F.lit("x").alias("word"), F.lit(1).alias("held")).withColumn("n", F.monotonically_increasing_id()))
+    rows = [(r["id"], r["n"]) for r in read.collect()]
+    for most, bits in ((1, 1), (2, 4), (3, 4), (9, 4), (20, 4)):
+        copies = {i: (i * 7919) % (most + 1) for i, _ in rows if i % 3}
+        plan = spark.createDataFrame([(n, copies[i]) for i, n in rows if copies.get(i)], "row long, copies int")
+        for words in (common.WORDS, 10):  # by words, and by a join
+            out = common.copied(read, "n", plan, bits, words)
+            assert out.columns == read.columns and Counter(r["id"] for r in out.collect()) == Counter({i: c for i, c in copies.items() if c})
+    assert common.copied(read, "n", plan.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- 1
 
 

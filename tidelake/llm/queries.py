@@ -22,20 +22,24 @@ def vocabulary(name: str) -> str:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; odd rows as in quality_scores()."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, written as archives and read back; odd rows as in records() and read_archives()."""
     folder = warc.archive_folder(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.read_archives(spark, folder, with_payload=False).drop("payload", "url")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken; odd rows as in mix_plan()."""
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from what was formatted; odd rows as in formatted() and digests()."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -43,27 +47,33 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents; odd rows as in packed()."""
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary(PACKING_VOCABULARY))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; odd rows as in exact_groups()."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts; odd rows as in edit_likeness()."""
     return order_minhash.edit_likeness(table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents; odd rows as in token_counts()."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary(COUNTING_VOCABULARY))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents; odd rows as in sharded()."""
     out = sharding.sharded(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents; odd rows as in simhash_components()."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 

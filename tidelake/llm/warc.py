@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidelake.llm.common import discard, partitions, shared_path, written
+from tidelake import paths
+from tidelake.llm.common import discard, partitions, written
 
 MAGIC = b"WARC/1.0\r\n"
 #: Equal payloads shorter than this are no revisits.
@@ -339,4 +340,4 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 
 def archive_folder(spark: SparkSession) -> str:
-    return shared_path(spark, "warc")
+    return paths.scratch(spark, "warc")
