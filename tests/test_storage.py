@@ -269,3 +269,23 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         paths.scratch(Cluster(), "x")
+
+
+def test_asof_join_by_units(spark):
+    import random
+
+    from tidelake.operators.joins import asof_join, range_join
+
+    rnd = random.Random(4)
+    moment = lambda: datetime(2024, 1, 1) + timedelta(minutes=rnd.randrange(8000))
+    left = [(rnd.choice(["a", "b", None]), moment() if rnd.random() < 0.95 else None, i) for i in range(300)]
+    right = [(rnd.choice(["a", "a", "c", None]), moment(), float(i)) for i in range(60)]
+    a, b = spark.createDataFrame(left, "k string, t timestamp_ntz, i int"), spark.createDataFrame(right, "k string, u timestamp_ntz, v double")
+    want = {i: max(((u, v) for q, u, v in right if q == k and k is not None and t is not None and u <= t), default=(None, None))[1] for k, t, i in left}
+    for every in (None, "day", "hour"):
+        got = asof_join(a, b, ["k"], "t", "u", ["v"], every=every)
+        assert got.count() == 300 and {r["i"]: r["v"] for r in got.collect()} == want
+        assert asof_join(a, b, ["k"], "t", "u", ["v"], "inner", every).count() == sum(v is not None for v in want.values())
+    points, ranges = [rnd.uniform(-50, 1e6) for _ in range(200)], [(x, x + w) for w in (0.5, 3, 90, 4000, 2e6) for x in (rnd.uniform(-60, 1e6) for _ in range(8))] + [(5.0, 5.0)]
+    hits = range_join(spark.createDataFrame([(p,) for p in points], "p double"), spark.createDataFrame(ranges, "lo double, hi double"), "p", "lo", "hi", 2.0)
+    assert sorted(map(tuple, hits.collect())) == sorted((p, lo, hi) for p in points for lo, hi in ranges if lo <= p < hi)

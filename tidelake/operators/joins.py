@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,25 +11,37 @@ from pyspark.sql import Window as W
 __all__ = ["asof_join", "positional_join", "range_join"]
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], how: str = "left") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, values: list[str], how: str = "left", every: str | None = None) -> DataFrame:
     """left with the `values` of right's latest row of the same key at or before left_time.
 
     Both sides are united and one window carries the latest right row forward: one shuffle, one sort, no blow-up.
     Rows of right come before rows of left with the same time. Of right rows with equal key and time the one with
-    the largest values counts. Null keys or times match nothing. how: 'left' or 'inner'.
+    the largest values counts. Null keys or times match nothing; rows without a key are spread over tasks. how:
+    'left' or 'inner'.
+
+    every: a unit of time (day, hour, ...) by which a key's rows are split too, so that a key that holds most rows
+    binds no single task. Each unit's latest right row is carried into the later ones, one row a key and unit.
     """
     row = F.struct(*(F.col(c).alias(c) for c in left.columns))
     found = F.struct(F.col(right_time).alias("time"), *(F.col(c).alias(c) for c in values))
-    both = left.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(on)), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), row.alias("_row"), F.lit(None).cast(right.select(found.alias("x")).schema[0].dataType).alias("_found"))
-    other = right.filter(F.col(right_time).isNotNull()).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(on)), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(row.alias("x")).schema[0].dataType).alias("_row"), found.alias("_found"))
-    keys = [F.col(f"_k{i}") for i in range(len(on))]
-    # times of left that are null sort after all, and are cleared below
-    w = W.partitionBy(*keys).orderBy(F.col("_t").asc_nulls_last(), "_side", F.col("_found").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    joined = both.unionByName(other).withColumn("_last", F.last("_found", ignorenulls=True).over(w)).filter("_side = 1")
-    usable = F.col("_t").isNotNull()
-    for k in keys:
-        usable &= k.isNotNull()
-    joined = joined.withColumn("_last", F.when(usable, F.col("_last")))
+    known = lambda cs: functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cs))
+    unit = lambda c: F.date_trunc(every, F.col(c).cast("timestamp")) if every else F.lit(None).cast("timestamp")
+    spread = F.when(~known([*on, left_time]), F.pmod(F.monotonically_increasing_id(), F.lit(4096)))
+    right = right.filter(known([*on, right_time]))
+    key = [f"_k{i}" for i in range(len(on))]
+    both = left.select(*(F.col(c).alias(k) for c, k in zip(on, key)), unit(left_time).alias("_u"), spread.alias("_spread"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), row.alias("_row"), F.lit(None).cast(right.select(found.alias("x")).schema[0].dataType).alias("_found"))
+    other = right.select(*(F.col(c).alias(k) for c, k in zip(on, key)), unit(right_time).alias("_u"), F.lit(None).cast("long").alias("_spread"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(row.alias("x")).schema[0].dataType).alias("_row"), found.alias("_found"))
+    w = W.partitionBy(*key, "_u", "_spread").orderBy(F.col("_t").asc_nulls_last(), "_side", F.col("_found").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    united = both.unionByName(other)
+    joined = united.withColumn("_last", F.last("_found", ignorenulls=True).over(w)).filter("_side = 1")
+    if every:
+        # the latest of all units before, for each unit that a key has rows in
+        units = united.filter("_spread is null").groupBy(*key, "_u").agg(F.max(F.when(F.col("_side") == 0, F.struct(F.col("_t"), F.col("_found")))).alias("_top"))
+        earlier = W.partitionBy(*key).orderBy("_u").rowsBetween(W.unboundedPreceding, -1)
+        carried = units.select(*(F.col(k).alias(f"{k}r") for k in key), F.col("_u").alias("_ur"), F.last("_top", ignorenulls=True).over(earlier)["_found"].alias("_before"))
+        same = functools.reduce(lambda a, b: a & b, [F.col(k) == F.col(f"{k}r") for k in key] + [F.col("_u") == F.col("_ur")])
+        joined = joined.join(carried, same, "left").withColumn("_last", F.coalesce("_last", "_before"))
+    joined = joined.withColumn("_last", F.when(F.col("_spread").isNull(), F.col("_last")))
     if how == "inner":
         joined = joined.filter(F.col("_last").isNotNull())
     return joined.select("_row.*", *(F.col("_last")[c].alias(c) for c in values))
@@ -54,10 +68,18 @@ def _numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
     """Rows of points with the ranges that hold them: low <= at < high.
 
-    Ranges are listed under each cell of `width` that they touch and points under their own, so the join is by
-    equality of cells instead of all pairs. A width near the usual range's length is best; any is right.
+    Ranges are listed under each cell that they touch and points under their own, so the join is by equality of cells
+    instead of all pairs. Cells are `width` wide, and eight times as wide from level to level; a range is listed in
+    the first level where it touches ten cells at most, so a very wide one is no more rows than others. A width near
+    the usual range's length is best; any is right.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    cells = ranges.filter(F.col(low) < F.col(high)).withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
-    hit = points.withColumn("_cell", cell(at)).join(cells, "_cell")
-    return hit.filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_cell")
+    # how many cells of the first level a range spans; a level has eight times fewer
+    cells = F.greatest(F.lit(1.0), (F.col(high) - F.col(low)).cast("double") / F.lit(width))
+    level = F.greatest(F.lit(0), F.ceil(F.log(8.0, cells / 8.0))).cast("int")
+    cell = lambda c, of: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(8.0), of))).cast("long")
+    listed = ranges.filter(F.col(low) < F.col(high)).withColumn("_level", level)
+    levels = sorted(r[0] for r in listed.select("_level").distinct().collect())  # a few: the logarithm of the widest range
+    listed = listed.withColumn("_cell", F.explode(F.sequence(cell(low, F.col("_level")), cell(high, F.col("_level")))))
+    own = F.explode(F.array(*(F.struct(F.lit(n).alias("_level"), cell(at, F.lit(n)).alias("_cell")) for n in levels or [0])))
+    hit = points.withColumn("_at", own).withColumns({"_level": F.col("_at._level"), "_cell": F.col("_at._cell")}).drop("_at").join(listed, ["_level", "_cell"])
+    return hit.filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_level", "_cell")

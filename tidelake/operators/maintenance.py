@@ -97,8 +97,9 @@ def compact(lake: Lake, db: str, name: str, least: int = LEAST_FILES, older_than
             swap(lake, rows.withColumn(HOUR, F.lit(WHOLE_DAY)) if daily else rows, path, batch, known, parts)
             batch.clear()
 
-    for fs in groups.values():
-        if sum(len(folders[f]) for f in fs) < least or (older_than is not None and max(map(folder_ends, fs)) > older_than):
+    for group, fs in groups.items():
+        ends = folder_ends(f"{group}/{HOUR}={WHOLE_DAY}" if daily else group)
+        if sum(len(folders[f]) for f in fs) < least or (older_than is not None and ends > older_than):
             continue
         sound = paths.parquet_only(spark, [f for folder in fs for f in folders[folder]])
         if len(sound) < least:
@@ -134,7 +135,21 @@ def retain(lake: Lake, db: str, name: str, days: float, now: datetime, buffer_da
 
 
 def always(df: DataFrame, condition: str) -> bool:
-    """Whether the optimiser leaves nothing of a condition but that columns are known: it holds for all such rows."""
+    """Whether the optimiser leaves nothing of a condition but that columns are known, or equal to themselves."""
+
+    def holds(e) -> bool:
+        kind = e.getClass().getSimpleName()
+        if kind == "And":
+            return holds(e.left()) and holds(e.right())
+        if kind == "Or":
+            return holds(e.left()) or holds(e.right())
+        if kind in ("EqualTo", "EqualNullSafe", "GreaterThanOrEqual", "LessThanOrEqual"):
+            return e.left().semanticEquals(e.right())
+        if kind == "In":
+            values = e.list()
+            return any(values.apply(i).semanticEquals(e.value()) for i in range(values.size()))
+        return kind == "IsNotNull" or kind in ("Literal", "TrueLiteral$") and str(e) == "true"
+
     plan = df.filter(condition)._jdf.queryExecution().optimizedPlan()
     todo, left = [plan], []
     while todo:
@@ -143,14 +158,7 @@ def always(df: DataFrame, condition: str) -> bool:
             left.append(p.condition())
         children = p.children()
         todo += [children.apply(i) for i in range(children.size())]
-    while left:
-        e = left.pop()
-        kind = e.getClass().getSimpleName()
-        if kind == "And":
-            left += [e.left(), e.right()]
-        elif kind != "IsNotNull":
-            return False
-    return plan.nodeName() != "LocalRelation"  # nothing at all holds
+    return plan.nodeName() != "LocalRelation" and all(map(holds, left))  # the former: it never holds
 
 
 def delete_where(lake: Lake, db: str, name: str, condition: str, confirm: bool = False, dry_run: bool = False, most: int = MOST_DELETED) -> dict:

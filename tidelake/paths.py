@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
@@ -11,19 +12,28 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folders that sessions keep their intermediate tables in, by the shared folder's name and the session's.
+_roots: dict[tuple[str, str], str] = {}
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder under the one that the cluster names in spark.checkpoint.dir; it goes when the session's process ends.
+    """A new path under the folder that the cluster names in spark.checkpoint.dir.
 
-    Where none is named there is one of our own, for a session in one process only (tests): a folder of one machine is
-    none that a cluster shares.
+    It is in a folder of the session's own, which goes when the session's process ends. Where no shared folder is named
+    there is one of our own, for a session in one process only (tests): a folder of one machine is none that a cluster
+    shares.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    path = f"{(base or '/tmp/checkpoints/tidelake').rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    fs, p = _fs(spark, path)
-    fs.deleteOnExit(p.makeQualified(fs.getUri(), fs.getWorkingDirectory()))
-    return path
+    key = ((base or "/tmp/checkpoints").rstrip("/"), spark.sparkContext.applicationId)
+    if key not in _roots:
+        path = f"{key[0]}/tidelake-{key[1]}-{uuid.uuid4().hex[:8]}"
+        fs, p = _fs(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(fs.makeQualified(p))
+        _roots[key] = path
+    return f"{_roots[key]}/{what}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, what: str = "table") -> DataFrame:
@@ -136,7 +146,18 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
 
 @contextlib.contextmanager
 def lock(spark: SparkSession, path: str, wait: float = 30.0, stale: float = 120.0):
-    """Holds the file path, which only one can make at a time; one that is older than `stale` seconds was left behind."""
+    """Holds the file path, which only one can make at a time; one that is older than `stale` seconds was left behind.
+
+    Threads of this process wait for each other before, as not every file system makes files atomically.
+    """
+    with _held:
+        yield from _lock(spark, path, wait, stale)
+
+
+_held = threading.RLock()
+
+
+def _lock(spark: SparkSession, path: str, wait: float, stale: float):
     fs, p = _fs(spark, path)
     began = time.time()
     while True:

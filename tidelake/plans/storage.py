@@ -466,6 +466,8 @@ WITH t AS (SELECT s_suppkey % 100000 AS k, 1 + (s_suppkey % 150) / 10.0 AS n, (s
 a AS (SELECT *, pow(3.986004418e14 / pow(n * 2 * pi() / 86400.0, 2), 1.0 / 3) / 1000.0 AS a FROM t),
 h AS (SELECT *, a * (1 - e) - 6371.0 AS p, a * (1 + e) - 6371.0 AS q FROM a)
 SELECT lpad(k::VARCHAR, 5, '0') AS norad_id, 'SAT ' || k AS object_name, TIMESTAMP '2024-01-01' + to_hours(CAST(k % 360 * 24 + 12 AS INT)) AS time, round(a, 3) AS semi_major_axis_km, round(1440.0 / n, 6) AS period_min,
+'U' AS classification, '98067A' AS international_designator, 51.6416::DOUBLE AS inclination_deg, 247.4627::DOUBLE AS raan_deg, round(e, 7)::DOUBLE AS eccentricity, 130.536::DOUBLE AS arg_perigee_deg, 325.0288::DOUBLE AS mean_anomaly_deg,
+round(n, 8)::DOUBLE AS mean_motion_rev_day, round(-0.11606 * pow(10, -4), 12) AS bstar, 0.00002182::DOUBLE AS mean_motion_dot, 0.0::DOUBLE AS mean_motion_ddot, 56353.0::DOUBLE AS revolution_number, round(q, 3) AS apogee_km, round(p, 3) AS perigee_km,
 CASE WHEN p < 0 THEN 'SUB' WHEN e > 0.25 AND q > 35786.0 THEN 'HEO' WHEN (p + q) / 2 > 35586.0 AND (p + q) / 2 < 35986.0 THEN 'GEO' WHEN q < 2000.0 THEN 'LEO' WHEN p >= 2000.0 AND q <= 35786.0 THEN 'MEO' ELSE 'HEO' END AS orbit_type
 FROM h
 """
@@ -484,7 +486,8 @@ def s11_two_line_elements(load, spark):
     checked = lambda c: F.concat(c, (F.aggregate(F.split(c, ""), F.lit(0), lambda s, x: s + digit(x)) % 10).cast("string"))
     text = F.concat(F.lit("SAT "), k.cast("string"), F.lit("\n"), checked(one), F.lit("\n"), checked(two), F.lit("\n"))
     out = two_line_elements(load("supplier").select(text.alias("value")))
-    return out.select("norad_id", "object_name", "time", F.round("semi_major_axis_km", 3).alias("semi_major_axis_km"), F.round("period_min", 6).alias("period_min"), "orbit_type")
+    places = {"semi_major_axis_km": 3, "period_min": 6, "apogee_km": 3, "perigee_km": 3, "eccentricity": 7, "mean_motion_rev_day": 8, "bstar": 12}
+    return out.select(*(F.round(c, places[c]).alias(c) if c in places else c for c in out.columns))
 
 
 @query("SELECT CASE WHEN date_trunc('hour', ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-15' THEN 'cold' ELSE 'hot' END AS tier, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1")
