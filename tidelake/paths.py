@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import io
 import threading
 import time
 import uuid
@@ -144,6 +145,38 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         stream.close()
 
 
+def write_pieces(spark: SparkSession, path: str, pieces: Iterable[bytes]) -> None:
+    """Pieces as one file, written as they come."""
+    fs, p = _fs(spark, path)
+    stream = fs.create(p, True)
+    try:
+        for piece in pieces:
+            stream.write(bytearray(piece))
+    finally:
+        stream.close()
+
+
+class Reading(io.RawIOBase):
+    """A file to read from its beginning on; memory holds what is asked for at a time."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        fs, p = _fs(spark, path)
+        self._stream = fs.open(p)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        data = self._stream.readNBytes(len(into))
+        into[: len(data)] = data
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._stream.close()
+        super().close()
+
+
 @contextlib.contextmanager
 def lock(spark: SparkSession, path: str, wait: float = 30.0, stale: float = 120.0):
     """Holds the file path, which only one can make at a time; one that is older than `stale` seconds was left behind.

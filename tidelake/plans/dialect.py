@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import codecs
+import itertools
 import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidelake import paths
 from tidelake.operators.browse import egress
 from tidelake.plans.safety import listed
 from tidelake.plans.translate import WHOLE, translate
@@ -74,20 +78,105 @@ def run(spark: SparkSession, sql: str) -> DataFrame:
 
 
 def json_rows(df: DataFrame, every: int = 1000) -> Iterator[str]:
-    """A JSON document {columns, data, row_count} in pieces, as rows come; the driver holds one partition at a time."""
+    """A JSON document {columns, data, row_count} in pieces, as rows come; tasks write the pieces and squeeze them for
+    the way, and the driver holds one partition at a time."""
+    import zlib
+
+    def pieces(rows):
+        while some := [json.dumps(list(row), default=plain) for row in itertools.islice(rows, every)]:
+            yield len(some), zlib.compress(",".join(some).encode(), 1)
+
     yield json.dumps({"columns": df.columns})[:-1] + ', "data": ['
-    n, piece = 0, []
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        piece.append(json.dumps(list(row), default=plain))
-        n += 1
-        if len(piece) == every:
-            yield ("," if n > every else "") + ",".join(piece)
-            piece = []
-    if piece:
-        yield ("," if n > len(piece) else "") + ",".join(piece)
+    n = 0
+    for rows, piece in df.rdd.mapPartitions(pieces).toLocalIterator(prefetchPartitions=True):
+        yield ("," if n else "") + zlib.decompress(piece).decode()
+        n += rows
     yield f'], "row_count": {n}}}'
 
 
+def json_read(body) -> Iterator[list]:
+    """The rows of a document of json_rows(), from an open file of its bytes, as they come; a ValueError where it is none.
+
+    Memory holds a piece of the document and its row at a time.
+    """
+    decoder, text = json.JSONDecoder(), codecs.getreader("utf-8")(body)
+    held, at = "", 0
+
+    def more() -> None:
+        nonlocal held, at
+        new = text.read(max(1 << 20, len(held) - at))  # twice as much for a row that is longer than a piece
+        if not new:
+            raise ValueError("the document is cut off")
+        held, at = held[at:] + new, 0
+
+    def expect(word: str) -> None:
+        nonlocal at
+        while len(held) - at < len(word):
+            more()
+        if not held.startswith(word, at):
+            raise ValueError(f"no {word!r} in the document")
+        at += len(word)
+
+    def value():
+        nonlocal at
+        while True:
+            try:
+                out, at = decoder.raw_decode(held, at)
+                return out
+            except json.JSONDecodeError:
+                more()
+
+    expect('{"columns": ')
+    columns, n = value(), 0
+    expect(', "data": [')
+    while True:
+        if len(held) - at < 2:
+            more()
+        if held[at] == "]":
+            break
+        if n:
+            expect(",")
+        row = value()
+        if not isinstance(row, list) or len(row) != len(columns):
+            raise ValueError("a row has not the document's columns")
+        n += 1
+        yield row
+    expect('], "row_count": ' + f"{n}}}")
+    if held[at:] or text.read(1):
+        raise ValueError("bytes are left over")
+
+
+def landed(spark: SparkSession, tables: Iterator, schema) -> DataFrame:
+    """Arrow tables or batches, as a client gets them, as a table in the scratch folder; the driver holds one file's rows."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    path, kinds, held = paths.scratch(spark, "landed"), to_arrow_schema(schema), []
+
+    def put(n: int) -> None:
+        sink = pa.BufferOutputStream()
+        pq.write_table(pa.concat_tables([t.cast(kinds) for t in held]) if held else kinds.empty_table(), sink, compression="zstd")
+        paths.write_bytes(spark, f"{path}/part-{n:09d}.parquet", sink.getvalue().to_pybytes())
+        held.clear()
+
+    files = 0
+    for t in tables:
+        held.append(t if isinstance(t, pa.Table) else pa.Table.from_batches([t]))
+        if sum(h.num_rows for h in held) >= 100_000 or sum(h.nbytes for h in held) >= 16 << 20:
+            put(files)
+            files += 1
+    if held or not files:
+        put(files)
+    return spark.read.schema(schema).parquet(path)
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables have the same rows, each as often; counted where the rows are."""
+    both = a.withColumn("_n", F.lit(1)).unionAll(b.withColumn("_n", F.lit(-1)))
+    return both.groupBy(*a.columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0").isEmpty()
+
+
 def plain(v):
     if hasattr(v, "isoformat"):
         return v.isoformat() + ("Z" if hasattr(v, "hour") and v.tzinfo is None else "")
@@ -130,8 +219,8 @@ def arrow_pieces(df: DataFrame, compression: str | None = None, dictionary: bool
     schema, sink = next(batches), _Pieces()
     first = next(batches, None)
     codes = []
-    if dictionary and first is not None:
-        codes = [i for i, f in enumerate(schema) if pa.types.is_string(f.type) and len(first.column(i).unique()) <= DICTIONARY]
+    if dictionary:
+        codes = [i for i, f in enumerate(schema) if pa.types.is_string(f.type) and (first is None or len(first.column(i).unique()) <= DICTIONARY)]
     kind = pa.dictionary(pa.int32(), pa.string())
     sent = pa.schema([pa.field(f.name, kind) if i in codes else f for i, f in enumerate(schema)])
     options = pa.ipc.IpcWriteOptions(compression=compression, emit_dictionary_deltas=False)
