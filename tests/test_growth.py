@@ -38,3 +38,18 @@ def test_responses_are_not_held_by_the_driver(spark, sf_dir, monkeypatch):
 def test_responses_of_nothing(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
     assert QUERIES["k10_compressed_responses"](spark, str(tmp_path)).count() == 0
+
+
+def test_each_csv_file_has_its_preamble(spark, sf_dir, tmp_path, monkeypatch):
+    """Tasks write files of their own, no text of all rows is made, and all rows come back."""
+    from tidelake.plans import storage
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    monkeypatch.setattr(storage, "import_csv", lambda spark, path, *a, f=storage.import_csv, **b: (seen.append(path), f(spark, path, *a, **b))[1])
+    monkeypatch.setattr(storage.F, "collect_list", None)
+    got = QUERIES["s8_csv_preambles"](spark, str(tmp_path))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, events.select("ts", "event_id", "user_id", "event_type", "value").collect()))
+    files = [r["value"] for r in spark.read.text(seen[0], wholetext=True).collect() if r["value"]]
+    assert len(files) > 3 and all(f.startswith("# written by a device\n# for a test\nwhen;event_id;") for f in files)
