@@ -53,3 +53,25 @@ def test_each_csv_file_has_its_preamble(spark, sf_dir, tmp_path, monkeypatch):
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, events.select("ts", "event_id", "user_id", "event_type", "value").collect()))
     files = [r["value"] for r in spark.read.text(seen[0], wholetext=True).collect() if r["value"]]
     assert len(files) > 3 and all(f.startswith("# written by a device\n# for a test\nwhen;event_id;") for f in files)
+
+
+@pytest.mark.parametrize("seconds", [1, 7, 3600])
+def test_trailing(spark, seconds):
+    """Frames by time against Spark's own window: ends, equal times, times before 1970, no time, no key, no value, infinity."""
+    import random
+
+    from tidelake.operators.windows import trailing
+
+    r = random.Random(seconds)
+    rows = [(i, r.choice(["a", "b", None]), None if i % 20 == 0 else r.choice([-1, 1]) * r.randrange(40) * seconds * 1_000_000 // 8 + r.choice([0, 0, 1]), None if i % 7 == 0 else r.choice([0.25, -3.5, 8.0]) if i % 50 else float("inf")) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, k string, us long, v double").selectExpr("i", "k", "timestampadd(MICROSECOND, us, timestamp_ntz'1970-01-01') t", "v")
+    df.createOrReplaceTempView("frames")
+    over = f"OVER (PARTITION BY k ORDER BY t RANGE BETWEEN INTERVAL '{seconds}' SECOND PRECEDING AND CURRENT ROW)"
+    want = spark.sql(f"SELECT *, count(*) {over} AS n, sum(v) {over} AS s FROM frames")
+    assert sorted(map(repr, trailing(df, ["k"], "t", "v", seconds).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_range_frames_are_not_added_up_row_by_row(spark, sf_dir):
+    """w3's rows are dealt by key and a cell of time, not by key alone, and no frame slides over rows."""
+    plan = QUERIES["w3_range_interval"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, -59" in plan and "INTERVAL" not in plan and "_cell" in plan

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from tidelake.functions import nulls_last
 from tidelake.operators.joins import asof_join, positional_join, range_join
+from tidelake.operators.windows import trailing
 from tidelake.plans.registry import query, sql
 
 # ---------------------------------------------------------------- projection and filters
@@ -127,7 +128,14 @@ def w2_qualify_latest(load, spark):
 sql("w3_ranking", "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS n, ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS q, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC)",
     "SELECT o_orderkey, CAST(rank() OVER w AS INT) AS r, CAST(dense_rank() OVER w AS INT) AS d, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS n, CAST(ntile(4) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS q, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC)")
 sql("w3_analytic", "SELECT event_id, lag(value) OVER w AS prev, lead(value, 2, -1.0) OVER w AS next2, first_value(value) OVER w AS f, last_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, nth_value(value, 3) OVER w AS third FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
-sql("w3_range_interval", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW), 4) AS s FROM events")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS n, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW), 4) AS s FROM events")
+def w3_range_interval(load, spark):
+    rows = trailing(load("events").select("event_id", "event_type", "ts", "value"), ["event_type"], "ts", "value", 3600)
+    return rows.select("event_id", "n", F.round("s", 4).alias("s"))
+
+
 
 # ---------------------------------------------------------------- order, limits, sets, subqueries
 
