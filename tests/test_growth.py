@@ -75,3 +75,22 @@ def test_range_frames_are_not_added_up_row_by_row(spark, sf_dir):
     """w3's rows are dealt by key and a cell of time, not by key alone, and no frame slides over rows."""
     plan = QUERIES["w3_range_interval"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "RangeFrame, -59" in plan and "INTERVAL" not in plan and "_cell" in plan
+
+
+def test_range_join_deals_out_a_full_cell(spark, monkeypatch):
+    """Points and ranges of one cell: more tasks with more pairs, none with most of them, and each pair once."""
+    from pyspark.sql import functions as F
+
+    from tidelake.operators import joins
+
+    monkeypatch.setattr(joins, "BLOCK", 64, raising=False)
+    monkeypatch.setattr(joins, "PAIRS", 16 * 64 * 64, raising=False)
+    points = spark.range(2000).selectExpr("id", "double(id % 10) p").unionAll(spark.range(3).selectExpr("id", "double(5) p"))
+    ranges = spark.range(1000).selectExpr("id k", "double(id % 5) lo", "double(9) hi").unionAll(spark.sql("select -1L, 0D, 1000D union all select -2L, 3D, 3D union all select -3L, null, 1D"))
+    got = joins.range_join(points, ranges, "p", "lo", "hi", 40.0)
+    want = points.join(ranges, (F.col("p") >= F.col("lo")) & (F.col("p") < F.col("hi")))
+    hashed = lambda df: df.select(F.count("*"), F.sum(F.xxhash64("id", "p", "k", "lo", "hi").cast("decimal(38,0)"))).first()
+    assert hashed(got) == hashed(want)
+    n = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(n) > 10 and max(n) < sum(n) / 5
+    assert joins.range_join(points, ranges.limit(0), "p", "lo", "hi", 40.0).count() == 0

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidelake import paths
+
+#: Points or ranges of a cell that are compared as one, and pairs that a task compares.
+BLOCK, PAIRS = 1024, 32 << 20
+
 __all__ = ["asof_join", "positional_join", "range_join"]
 
 
@@ -72,6 +77,10 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     instead of all pairs. Cells are `width` wide, and eight times as wide from level to level; a range is listed in
     the first level where it touches ten cells at most, so a very wide one is no more rows than others. A width near
     the usual range's length is best; any is right.
+
+    Pairs may be many more than rows, where many ranges hold many points. A cell's points and ranges are cut into blocks
+    and tasks are as many as the pairs to compare ask for, so a task's work does not grow with the input, nor with one
+    cell; memory holds a task's ranges.
     """
     # how many cells of the first level a range spans; a level has eight times fewer
     cells = F.greatest(F.lit(1.0), (F.col(high) - F.col(low)).cast("double") / F.lit(width))
@@ -81,5 +90,18 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     levels = sorted(r[0] for r in listed.select("_level").distinct().collect())  # a few: the logarithm of the widest range
     listed = listed.withColumn("_cell", F.explode(F.sequence(cell(low, F.col("_level")), cell(high, F.col("_level")))))
     own = F.explode(F.array(*(F.struct(F.lit(n).alias("_level"), cell(at, F.lit(n)).alias("_cell")) for n in levels or [0])))
-    hit = points.withColumn("_at", own).withColumns({"_level": F.col("_at._level"), "_cell": F.col("_at._cell")}).drop("_at").join(listed, ["_level", "_cell"])
-    return hit.filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_level", "_cell")
+    placed = points.withColumn("_at", own).withColumns({"_level": F.col("_at._level"), "_cell": F.col("_at._cell")}).drop("_at")
+    # a cell's points and ranges are cut into blocks, and each pair of blocks is a piece of work of its own
+    key = ["_level", "_cell"]
+    blocks = lambda df, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(f"{name}n")).withColumn(name, F.ceil(F.col(f"{name}n") / BLOCK).cast("int"))
+    sizes = paths.stored(blocks(placed, "_p").join(blocks(listed, "_r"), key), "cells")
+    pairs = sizes.agg(F.sum(F.col("_pn").cast("double") * F.col("_rn"))).first()[0] or 0.0
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // PAIRS) + 1)
+    of = sizes.select(*key, "_p", "_r")
+    dealt = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pair = [*key, "_pb", "_rb"]
+    left = placed.withColumn("_id", F.monotonically_increasing_id()).join(of, key).withColumn("_pb", dealt("_p")).withColumn("_rb", every("_r")).drop("_p", "_r", "_id").repartition(parts, *pair)
+    right = listed.withColumn("_id", F.monotonically_increasing_id()).join(of, key).withColumn("_rb", dealt("_r")).withColumn("_pb", every("_p")).drop("_p", "_r", "_id").repartition(parts, *pair)
+    hit = left.join(right.hint("shuffle_hash"), pair)
+    return hit.filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop(*pair)
