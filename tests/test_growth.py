@@ -94,3 +94,48 @@ def test_range_join_deals_out_a_full_cell(spark, monkeypatch):
     n = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert len(n) > 10 and max(n) < sum(n) / 5
     assert joins.range_join(points, ranges.limit(0), "p", "lo", "hi", 40.0).count() == 0
+
+
+def test_agents_are_asked_and_decoded_a_few_at_a_time(spark, monkeypatch, tmp_path):
+    """A task asks AT_ONCE agents, holds one answer's points, and hands on pieces; broken and missing answers give none."""
+    from tidelake.sources import live
+
+    answer = json.dumps([{"m": "ev", "t": 1_700_000_000 + i, "h": "h", "fields": {"v": i}} for i in range(250)])
+    for i in range(40):
+        (tmp_path / f"{i}").write_text(answer if i % 8 else answer[:-1])
+    urls = [f"file://{tmp_path}/{i}" for i in range(41)]
+    monkeypatch.setattr(live, "PIECE", 100, raising=False)
+    points = live.live_points(spark, urls)
+    assert points.count() == 35 * 250
+    sizes = points.select("time").mapInArrow(lambda bs: bs, "time long").count()
+    assert sizes == 35 * 250
+    asked, out = [], []
+
+    class Frame:  # what the tasks run, run here
+        def repartition(self, n):
+            return self
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: Frame())
+    monkeypatch.setattr(live, "answered", lambda u, t: (asked.append(u), answer.encode())[1], raising=False)
+    import pyarrow as pa
+
+    for b in live.live_points(spark, urls)(iter([pa.RecordBatch.from_pydict({"url": urls})])):
+        out.append(b.num_rows)
+        assert len(asked) <= (sum(out) - 1) // 250 // live.AT_ONCE * live.AT_ONCE + live.AT_ONCE
+    assert max(out) == 100 and sum(out) == 41 * 250
+
+
+def test_live_answers_are_many(spark, tmp_path, monkeypatch):
+    """s4 makes no row of all records: answers are as long as one of Arrow's batches, however many records there are."""
+    from tidelake.plans.storage import answers
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        spark.range(0, 1050, 1, 1).selectExpr("to_json(struct('ev' as m, id as t)) value").mapInArrow(answers, "value string").write.option("maxRecordsPerFile", 1).text(f"{tmp_path}/a")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = [json.loads(r["value"]) for r in spark.read.text(f"{tmp_path}/a", wholetext=True).collect()]
+    assert len(found) == 11 and max(map(len, found)) == 101 and sum(map(len, found)) == 1050 + 11

@@ -17,6 +17,10 @@ NAMES = [c.split()[0] for c in POINTS.split(", ")]
 _KINDS = [pa.string(), pa.int64(), *(pa.map_(pa.string(), t) for t in (pa.string(), pa.int64(), pa.float64(), pa.string(), pa.bool_()))]
 
 
+#: Points of a batch that a decoder hands on.
+PIECE = 10_000
+
+
 def point(measurement: str, time: int | None, tags: dict, fields: dict) -> tuple:
     """A point; fields go by the kind of their value, and what has no kind of its own is left out."""
     ints, floats, strings, bools = {}, {}, {}, {}
@@ -54,18 +58,25 @@ def batch(points: list[tuple]) -> pa.RecordBatch:
 def decoded(df: DataFrame, column: str, decode) -> DataFrame:
     """Points of each value of a column; decode(value) gives a list of them. Bad input gives none.
 
-    Input in fewer parts than there are cores, as one small file, is dealt out first: decoding is the work.
+    Input in fewer parts than there are cores, as one small file, is dealt out first: decoding is the work. Values are
+    taken from a batch one by one, and no more than one batch of them is held.
     """
 
     def run(batches):
         for b in batches:
             found: list[tuple] = []
-            for value in b.column(0).to_pylist():
+            values = b.column(0)
+            del b
+            for i in range(len(values)):
+                value = values[i].as_py()
                 if value is not None:
                     found += decode(value)
-                if len(found) >= 10_000:
-                    yield batch(found)
-                    found = []
+                if len(found) >= PIECE:
+                    full = len(found) // PIECE * PIECE
+                    for j in range(0, full, PIECE):
+                        yield batch(found[j : j + PIECE])
+                    found = found[full:]
+            del values
             if found:
                 yield batch(found)
 
