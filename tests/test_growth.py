@@ -139,3 +139,31 @@ def test_live_answers_are_many(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     found = [json.loads(r["value"]) for r in spark.read.text(f"{tmp_path}/a", wholetext=True).collect()]
     assert len(found) == 11 and max(map(len, found)) == 101 and sum(map(len, found)) == 1050 + 11
+
+
+def test_decoders_hand_on_pieces(spark, monkeypatch):
+    """Values are taken one by one, and a value with many points becomes several batches."""
+    from tidelake.sources import points
+
+    monkeypatch.setattr(points, "PIECE", 100, raising=False)
+    one = points.point("m", 1, {}, {"v": 1})
+    df = spark.createDataFrame([("x",), (None,), ("y",)], "value string").coalesce(1)
+    sizes = []
+    caught = {}
+
+    class Rows:
+        isStreaming = True
+
+        def select(self, c):
+            return self
+
+        def mapInArrow(self, f, schema):
+            caught["f"] = f
+
+    points.decoded(Rows(), "value", lambda v: [one] * 10_050)
+    import pyarrow as pa
+
+    for b in caught["f"](iter([pa.RecordBatch.from_pydict({"value": ["x", None, "y"]})])):
+        sizes.append(b.num_rows)
+    assert max(sizes) == 100 and sum(sizes) == 20_100
+    assert points.decoded(df, "value", lambda v: [one] * 10_050).count() == 20_100
